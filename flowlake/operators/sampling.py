@@ -8,12 +8,12 @@ group of copies may be as large as it likes.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import fixed
@@ -25,8 +25,9 @@ GROUP = "_group"
 DIGITS = 3            # 4096 histogram cells per step
 KEY_DIGITS = 32
 SMALL_CELL = 20_000   # keys of one cell that may be read to the driver
+LAST_KEY = "g"        # above every hex key
 CHUNK = 10_000        # copies made by one task from one row
-SLICE_ROWS = 1_000_000
+SLICE_DIGITS = 4      # 65,536 slices of a row numbering
 
 
 @dataclass(frozen=True)
@@ -51,32 +52,45 @@ def _cell_cut(cells: Sequence[tuple[str, int]], wanted: int) -> tuple[str, int,
     raise ValueError("fewer rows than wanted")
 
 
-def find_cuts(keyed: DataFrame, wanted: Mapping[int | str, int]) -> dict:
-    """Cut per group of (_group, _key) rows; groups wanted 0 are left out.
+Wanted = Mapping[int | str, int] | Callable[[dict], Mapping[int | str, int]]
 
-    Each step narrows a group's cell by 3 hex digits: one pass over two narrow columns, at
-    most 4096 counts per group back. A cell of few rows is finished by reading its keys.
+
+def find_cuts(keyed: DataFrame, wanted: Wanted) -> tuple[dict, dict]:
+    """Cut per group of (_group, _key) rows, and the rows per group.
+
+    ``wanted`` gives rows per group, or computes them from the group sizes, which the first
+    histogram yields anyway. Each step narrows a group's cell by 3 hex digits: one pass over
+    two narrow columns, at most 4096 counts per group back. A cell of few rows is finished
+    by reading its keys. Groups of which all or no rows are wanted need no cut.
     """
-    open_cells = {g: ("", n, None) for g, n in wanted.items() if n > 0}
-    cuts: dict = {}
-    digits = 0
+    cells = _histogram(keyed, DIGITS)
+    sizes: dict = {}
+    for c in cells:
+        sizes[c[GROUP]] = sizes.get(c[GROUP], 0) + c["n"]
+    targets = wanted(sizes) if callable(wanted) else wanted
+    open_cells = {g: ("", n, 0) for g, n in targets.items() if 0 < n < sizes.get(g, 0)}
+    cuts = {g: Cut(LAST_KEY, 0, 0) for g, n in targets.items() if n >= sizes.get(g, 0) > 0}
+    digits = DIGITS
     while open_cells:
-        inside = _any([(F.col(GROUP) == g) & F.col(KEY).startswith(p)
-                       for g, (p, _, _) in open_cells.items()])
-        small = all(rows is not None and rows <= SMALL_CELL for _, _, rows in open_cells.values())
-        digits = KEY_DIGITS if small else min(KEY_DIGITS, digits + DIGITS)
-        cells = (keyed.filter(inside)
-                 .groupBy(GROUP, F.substring(KEY, 1, digits).alias("cell"))
-                 .agg(F.count("*").alias("n")).collect())
         for g in list(open_cells):
-            _, n, _ = open_cells[g]
-            prefix, n, rows = _cell_cut([(c["cell"], c["n"]) for c in cells if c[GROUP] == g], n)
+            prefix, n, rows = _cell_cut(
+                [(c["cell"], c["n"]) for c in cells if c[GROUP] == g], open_cells[g][1])
+            open_cells[g] = (prefix, n, rows)
             if digits == KEY_DIGITS:
                 cuts[g] = Cut(prefix, n, rows)
                 del open_cells[g]
-            else:
-                open_cells[g] = (prefix, n, rows)
-    return cuts
+        if open_cells:
+            small = all(rows <= SMALL_CELL for _, _, rows in open_cells.values())
+            digits = KEY_DIGITS if small else min(KEY_DIGITS, digits + DIGITS)
+            inside = _any([(F.col(GROUP) == g) & F.col(KEY).startswith(p)
+                           for g, (p, _, _) in open_cells.items()])
+            cells = _histogram(keyed.filter(inside), digits)
+    return cuts, sizes
+
+
+def _histogram(keyed: DataFrame, digits: int) -> list[Row]:
+    return (keyed.groupBy(GROUP, F.substring(KEY, 1, digits).alias("cell"))
+            .agg(F.count("*").alias("n")).collect())
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -88,20 +102,20 @@ def expand_copies(df: DataFrame, copies: str) -> DataFrame:
     chunks = (df.filter(F.col(copies) > 0)
               .withColumn("_chunk", F.explode(F.sequence(
                   F.lit(0), F.floor((F.col(copies) - 1) / CHUNK).cast("bigint"))))
-              .withColumn("_in", F.least(F.lit(CHUNK).cast("bigint"),
+              .withColumn("_each", F.least(F.lit(CHUNK).cast("bigint"),
                                          F.col(copies) - F.col("_chunk") * CHUNK)))
     few, many = chunks.filter(F.col(copies) <= CHUNK), chunks.filter(F.col(copies) > CHUNK)
     spread = many.repartition(*[F.col(f"`{c}`") for c in many.columns])
     return (few.unionByName(spread)
-            .withColumn("_in", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_in"))))
-            .drop("_chunk", "_in", copies))
+            .withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_each"))))
+            .drop("_chunk", "_each", copies))
 
 
-def mark_lowest(df: DataFrame, wanted: Mapping[int | str, int], key: Column, group: Column,
+def mark_lowest(df: DataFrame, wanted: Wanted, key: Column, group: Column,
                 out: str) -> DataFrame:
     """``out`` = row is among its group's ``wanted`` lowest keys, exactly; no row is lost."""
     keyed = df.withColumn(KEY, key).withColumn(GROUP, group)
-    cuts = find_cuts(keyed.select(GROUP, KEY), wanted)
+    cuts, _ = find_cuts(keyed.select(GROUP, KEY), wanted)
     if not cuts:
         return df.withColumn(out, F.lit(False))
     below = _any([(F.col(GROUP) == g) & (F.col(KEY) <= c.key if c.exact else F.col(KEY) < c.key)
@@ -136,9 +150,6 @@ def _mark_ties(ties: DataFrame, take: int, out: str) -> DataFrame:
 
 def take_lowest(df: DataFrame, n: int, key: Column) -> DataFrame:
     """Exactly ``n`` rows, those of the lowest keys (all rows if there are fewer)."""
-    total = df.count()
-    if n >= total:
-        return df
     return mark_lowest(df, {"all": n}, key, F.lit("all"), "_in").filter("_in").drop("_in")
 
 
@@ -146,11 +157,6 @@ def _key(df: DataFrame, seed: int, key_columns: Sequence[str | Column] | None) -
     return row_key(seed, key_columns) if key_columns else full_row_key(df, seed)
 
 
-def class_counts(df: DataFrame, label: str = "label") -> dict[int, int]:
-    return {r[label]: r["n"] for r in
-            df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-
-
 def class_ratio(df: DataFrame, label: str = "label") -> DataFrame:
     """Malicious to benign; null without benign rows."""
     bad, good = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
@@ -165,36 +171,38 @@ def undersample(df: DataFrame, ratio: int = fixed.UNDERSAMPLE_RATIO, seed: int =
 
     Fewer malicious rows than that are all kept.
     """
-    counts = class_counts(df, label)
-    wanted = min(ratio * counts.get(0, 0), counts.get(1, 0))
-    if wanted == counts.get(1, 0):
-        return df.filter(F.col(label).isin(0, 1))
-    marked = mark_lowest(df.filter(F.col(label).isin(0, 1)), {1: wanted},
+    classes = df.filter(F.col(label).isin(0, 1))
+    marked = mark_lowest(classes, lambda sizes: {0: sizes.get(0, 0), 1: ratio * sizes.get(0, 0)},
                          _key(df, seed, key_columns), F.col(label), "_in")
-    return marked.filter((F.col(label) == 0) | F.col("_in")).drop("_in")
+    return marked.filter("_in").drop("_in")
+
+
+def _slice_offsets(df: DataFrame, key: Column) -> tuple[list[tuple[str, int]], int]:
+    """First row number of each key slice (at most 65,536), and the rows in all."""
+    counts = (df.groupBy(F.substring(key, 1, SLICE_DIGITS).alias("s"))
+              .agg(F.count("*").alias("n")).collect())
+    offsets, seen = [], 0
+    for s, n in sorted((r["s"], r["n"]) for r in counts):
+        offsets.append((s, seen))
+        seen += n
+    return offsets, seen
 
 
 def index_rows(df: DataFrame, seed: int = fixed.SEED,
                key_columns: Sequence[str | Column] | None = None,
-               out: str = "row_idx", rows: int | None = None) -> DataFrame:
-    """Row number 0..N-1 in key order.
+               out: str = "row_idx") -> DataFrame:
+    """Row number 0..N-1 in key order."""
+    offsets, _ = _slice_offsets(df, _key(df, seed, key_columns))
+    return _indexed(df, _key(df, seed, key_columns), offsets, out)
 
-    Copies are counted first, so each distinct row is met once; slices are key prefixes,
-    even because keys are hashes, and their offsets are a small table.
-    """
-    rows = df.count() if rows is None else rows
-    digits = 1
-    while digits < 4 and 16 ** digits * SLICE_ROWS < rows:
-        digits += 1
+
+def _indexed(df: DataFrame, key: Column, offsets: list[tuple[str, int]], out: str) -> DataFrame:
+    """Copies are counted first, so each distinct row is met once; slices are key prefixes,
+    even because keys are hashes, and their offsets are a small table."""
     columns = [F.col(f"`{c}`") for c in df.columns]
-    counted = (df.withColumn(KEY, _key(df, seed, key_columns))
-               .groupBy(KEY, *columns).agg(F.count("*").alias("_n"))
-               .withColumn("_slice", F.substring(KEY, 1, digits)))
-    totals = (df.select(F.substring(_key(df, seed, key_columns), 1, digits).alias("_slice"))
-              .groupBy("_slice").agg(F.count("*").alias("_rows")))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(  # at most 65,536 slices
-        "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    counted = (df.withColumn(KEY, key).groupBy(KEY, *columns).agg(F.count("*").alias("_n"))
+               .withColumn("_slice", F.substring(KEY, 1, SLICE_DIGITS)))
+    offsets = df.sparkSession.createDataFrame(offsets, "_slice STRING, _offset BIGINT")
     inside = (Window.partitionBy("_slice").orderBy(KEY, *_sortable(df))
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = (counted.withColumn("_start", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
@@ -221,13 +229,13 @@ def bootstrap(df: DataFrame, n: int, seed: int = fixed.SEED,
 
     R4 (``squared``): a row drawn k times appears k*k times, as published figures have it.
     """
-    spark = df.sparkSession
-    rows = df.count()
-    draws = (spark.range(n)
+    key = _key(df, seed, key_columns)
+    offsets, rows = _slice_offsets(df, key)
+    draws = (df.sparkSession.range(n)
              .select(seeded_index(seed, F.col("id"), F.lit(rows)).alias("row_idx"))
              .groupBy("row_idx").agg(F.count("*").alias("_k")))
     copies = F.col("_k") * F.col("_k") if squared else F.col("_k")
-    return expand_copies(index_rows(df, seed, key_columns, rows=rows).join(draws, "row_idx")
+    return expand_copies(_indexed(df, key, offsets, "row_idx").join(draws, "row_idx")
                          .withColumn("_copies", copies).drop("row_idx", "_k"), "_copies")
 
 
@@ -266,8 +274,8 @@ def stratified_split(df: DataFrame, test_share: float = fixed.TEST_SHARE,
                      seed: int = fixed.SEED, key_columns: Sequence[str | Column] | None = None,
                      label: str = "label", out: str = "split") -> DataFrame:
     """``train``/``test`` with the exact size per class."""
-    sizes = test_sizes(class_counts(df, label), test_share)
-    marked = mark_lowest(df, sizes, _key(df, seed, key_columns), F.col(label), "_in")
+    marked = mark_lowest(df, lambda sizes: test_sizes(sizes, test_share),
+                         _key(df, seed, key_columns), F.col(label), "_in")
     return marked.withColumn(out, F.when(F.col("_in"), "test").otherwise("train")).drop("_in")
 
 

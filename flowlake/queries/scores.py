@@ -91,7 +91,24 @@ def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("f1", F.round("f1", 6))
 
 
-@query("s13_evaluation_report")
+_HEAD = ["# Model Evaluation Report", "", "## Dataset", "", "- Features: 7",
+         "- Classes: Benign (0), Malicious (1)", "", "## Results Summary", "",
+         "| Model | Accuracy | Precision | Recall | F1 | ROC-AUC |",
+         "|-------|----------|-----------|--------|----|---------|",
+         "", "## Attack Scenario Coverage", "", "", "| Scenario | Flows |", "|----------|-------|"]
+_UNIT = "('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2"
+
+
+@query("s13_evaluation_report", f"""WITH {_RATES}, {_AUC},
+{LABELED_SQL},
+counts AS (SELECT scenario, count(*) AS flows FROM labeled WHERE scenario <> '' GROUP BY scenario)
+SELECT * FROM (VALUES {", ".join(f"('{line}')" for line in _HEAD)}) AS v(value) UNION ALL
+SELECT '- Test samples: ' || format('{{:,}}', count(*)) FROM matrix WHERE {_UNIT} UNION ALL
+SELECT '- Training samples: ' || format('{{:,}}', count(*)) FROM matrix WHERE NOT ({_UNIT}) UNION ALL
+SELECT 'The model was trained on traffic from ' || count(*) || ' attack scenarios:' FROM counts UNION ALL
+SELECT '| ' || scenario || ' | ' || format('{{:,}}', flows) || ' |' FROM counts UNION ALL
+SELECT printf('| %s | %.4f | %.4f | %.4f | %.4f | %.4f |', model, accuracy, precision, recall, f1, roc_auc)
+FROM rates JOIN auc USING (model)""")
 def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report lines as written; counts come from the tables."""
     comparison = evaluation.model_comparison(evaluation.all_metrics(predictions(spark, sf_dir)))
@@ -220,7 +237,22 @@ def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.explained_counts(_explained(spark, sf_dir))
 
 
-@query("s14_explanation_report")
+_SUMMARY = ["- Classifier: by value", "- LLM: documents", "- Flows per scenario: 2", "", "---", "",
+            "## Summary", "", "| Scenario | Flows Explained |", "|----------|-----------------|"]
+
+
+@query("s14_explanation_report", f"""WITH {_EXPLAINED},
+known AS (SELECT * FROM explained WHERE explanation IS NOT NULL),
+parts AS (
+  SELECT unnest(string_split('## ' || scenario || chr(10) || chr(10) || '**Attack type:** ' || description
+    || chr(10), chr(10))) AS value FROM (SELECT DISTINCT scenario, description FROM known) UNION ALL
+  SELECT unnest(string_split(printf('### Flow #%d -- Confidence: %.1f%%', flow_num, confidence * 100)
+    || chr(10) || chr(10) || explanation || chr(10), chr(10))) FROM known UNION ALL
+  SELECT unnest(['---', '']) FROM (SELECT DISTINCT scenario FROM known) UNION ALL
+  SELECT '| ' || scenario || ' | ' || count(*) || ' |' FROM known GROUP BY scenario UNION ALL
+  SELECT unnest(['', '**Total flows explained: ' || count(*) || '**']) FROM known UNION ALL
+  SELECT * FROM (VALUES {", ".join(f"('{line}')" for line in _SUMMARY)}) AS v(value))
+SELECT value FROM parts""")
 def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "s14")
     sinks.write_report(alerts.explanation_report(

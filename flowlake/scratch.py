@@ -20,6 +20,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if root:
         return root.rstrip("/")
+    if spark.sparkContext.getCheckpointDir():
+        return spark.sparkContext.getCheckpointDir().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="flowlake-")
