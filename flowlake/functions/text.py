@@ -22,7 +22,10 @@ def percent_text(c: Column) -> Column:
 
 def number_text(c: Column) -> Column:
     """Grouped whole number above 1000 in magnitude, else four decimals."""
+    # The one double at which format_number takes a value above the tie for the tie itself.
+    quirk = F.when(c < 0, "-0.0001").otherwise("0.0001")
     return (F.when(F.abs(c) > 1000, F.format_number(c.cast("double"), 0))
+            .when(F.abs(c) == 5e-05, quirk)
             .otherwise(fixed_decimals(c, 4)))
 
 

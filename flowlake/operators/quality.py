@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.functions import fixed
@@ -25,17 +25,13 @@ def coerce_features(df: DataFrame) -> DataFrame:
     return coerce_columns(df, feature_columns(df))
 
 
-def drop_incomplete(df: DataFrame, features: Sequence[str],
-                    observation: Observation | None = None) -> DataFrame:
+def drop_incomplete(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """P8, training policy: rows with any missing or infinite feature go.
 
-    ``observation`` counts rows before the filter while it runs; no pass of its own.
+    ``cleaning_report`` counts them. (A row observation would do it in the same pass, but
+    once one has run, Spark 4.1 fails to ship some MLlib models of that session.)
     """
-    cleaned = clean_columns(df, features)
-    if observation is not None:
-        cleaned = cleaned.observe(observation, F.count(F.lit(1)).alias("rows"),
-                                  F.count_if(~_any_missing(features)).alias("remaining"))
-    return cleaned.dropna("any", subset=list(features))
+    return clean_columns(df, features).dropna("any", subset=list(features))
 
 
 def _any_missing(features: Sequence[str]) -> Column:

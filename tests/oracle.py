@@ -63,7 +63,10 @@ def main() -> int:
     from flowlake.session import local_session
 
     sf_dir, chosen = sys.argv[1], sys.argv[2:]
-    spark, con = local_session(), connect(sf_dir)
+    conf = {}
+    if os.environ.get("KEEP_SLICES"):
+        conf["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
+    spark, con = local_session(**conf), connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in chosen or queries:

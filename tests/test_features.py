@@ -33,14 +33,6 @@ def test_missing_value_policies(spark):
     assert filled == [(1.0, 0.0), (0.0, 2.0), (3.0, 4.0)]
 
 
-def test_observed_row_counts(spark):
-    from pyspark.sql import Observation
-    seen = Observation("clean")
-    df = spark.createDataFrame([(1.0, INF), (NAN, 2.0), (3.0, 4.0)], "a DOUBLE, b DOUBLE")
-    quality.drop_incomplete(df, ["a", "b"], seen).write.format("noop").mode("overwrite").save()
-    assert seen.get == {"rows": 3, "remaining": 1}
-
-
 def test_zero_variance(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (1.0, 3.0)], "a DOUBLE, b DOUBLE")
     assert quality.zero_variance_columns(df, ["a", "b"]) == ["a"]

@@ -1,0 +1,108 @@
+"""Classifiers on separable data, persistence, and the jobs end to end."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from flowlake import jobs
+from flowlake.operators import evaluation, models, quality
+from flowlake.sources import sinks
+from flowlake.streaming import flows as streams
+
+SMALL = models.ModelParams(trees=5, forest_depth=4, rounds=3, boosting_depth=3, tree_depth=4,
+                           logistic_iterations=50)
+
+
+@pytest.fixture(scope="module")
+def separable(spark):
+    return spark.range(400).select(
+        F.col("id").alias("flow_id"), (F.col("id") % 4 != 0).cast("int").alias("label"),
+        F.when(F.col("id") % 4 != 0, 5.0).otherwise(-5.0).alias("_c"),
+        (F.col("id") * 7919 % 101 / 50.0).alias("noise")).select(
+        "flow_id", "label", (F.col("_c") + F.col("noise")).alias("a"), F.col("noise").alias("b"))
+
+
+@pytest.fixture(scope="module")
+def fitted(separable):
+    return models.fit_models(separable, ["a", "b"], SMALL)
+
+
+def test_all_models_beat_chance(separable, fitted):
+    assert list(fitted) == list(models.MODEL_ORDER)
+    scored = models.score_all(fitted, separable)
+    assert scored.count() == 1600
+    auc = {r["model"]: r["value"] for r in evaluation.roc_auc(scored).collect()}
+    assert all(v > 0.9 for v in auc.values()) and len(auc) == 4
+    assert not any(r["constant"] for r in evaluation.constant_predictors(scored).collect())
+
+
+def test_fitting_is_reproducible(separable, fitted):
+    again = models.fit_models(separable, ["a", "b"], SMALL, ["random_forest"])["random_forest"]
+    one, two = (models.score(m, separable, ["flow_id"]).orderBy("flow_id").collect()
+                for m in (fitted["random_forest"], again))
+    assert one == two
+
+
+def test_importance(spark, fitted):
+    rows = models.feature_importance(fitted["decision_tree"], ["a", "b"], spark)
+    best = models.top_importance(rows, 1).first()
+    assert (best["feature"], best["place"]) == ("a", 1)
+    assert rows.agg(F.sum("importance")).first()[0] == pytest.approx(1)
+
+
+def test_default_sizes():
+    chosen = models.estimators(1000)
+    assert chosen["random_forest"].getNumTrees() == 100
+    assert (chosen["gradient_boosting"].getMaxIter(), chosen["gradient_boosting"].getStepSize()) == (100, .1)
+    assert chosen["decision_tree"].getMaxDepth() == 20
+    assert (chosen["logistic_regression"].getMaxIter(), chosen["logistic_regression"].getRegParam()) == (1000, .001)
+
+
+def test_saved_model_rescores_raw_flows(spark, separable, fitted, tmp_path):
+    scaler = quality.fit_scaler(separable, ["a", "b"])
+    sinks.save_scaler(scaler, str(tmp_path / "scaler"))
+    sinks.save_model(fitted["decision_tree"], str(tmp_path / "model"))
+    rows = sinks.load_scaler(spark, str(tmp_path / "scaler")).collect()
+    loaded = sinks.load_model(str(tmp_path / "model"))
+    raw = separable.withColumn("extra", F.lit("x")).withColumn(
+        "b", F.when(F.col("flow_id") % 10 == 0, float("inf")).otherwise(F.col("b")))
+    want = models.rescore(raw, rows, fitted["decision_tree"], ["flow_id"]).orderBy("flow_id").collect()
+    assert models.rescore(raw, rows, loaded, ["flow_id"]).orderBy("flow_id").collect() == want
+    assert len(want) == 400
+    raw.write.parquet(str(tmp_path / "in"))
+    live = streams.score_stream(spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in")),
+                                rows, loaded, ["flow_id"])
+    streams.drain(live, str(tmp_path / "out"), str(tmp_path / "mark"))
+    assert spark.read.schema(live.schema).parquet(str(tmp_path / "out")).orderBy("flow_id").collect() == want
+    with pytest.raises(ValueError, match="missing"):
+        models.rescore(raw.drop("a"), rows, loaded, ["flow_id"])
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    rows = ["src_ip,dst_ip,timestamp,flow_duration,tot_fwd_pkts,flow_byts_s,bwd_urg_flags"]
+    for i in range(600):
+        bad = i % 10 < 7
+        rate = "inf" if i % 97 == 0 else str(1000 + i if bad else 10 + i % 5)
+        rows.append(f"10.0.0.{i % 9},10.0.1.1,{1779130800 + (0 if bad else 5000) + i % 60},"
+                    f"{2_000_000 + i if bad else 100 + i},{i % 13},{rate},0")
+    (tmp_path / "flows").mkdir()
+    (tmp_path / "flows" / "a.csv").write_text("\n".join(rows) + "\n")
+    (tmp_path / "log.csv").write_text(
+        "timestamp_start,timestamp_end,scenario,targets,label,notes\n"
+        "2026-05-18 19:00:00,2026-05-18 19:00:59,nmap_syn_scan,10.0.1.1,malicious,x\n")
+    report = jobs.label_job(spark, str(tmp_path / "flows"), str(tmp_path / "log.csv"), str(tmp_path / "labeled"))
+    assert report.first()["matched"] == 420
+    params = jobs.JobParams(ratio=1, models=SMALL)
+    metrics = jobs.train_job(spark, str(tmp_path / "labeled"), str(tmp_path / "trained"), params)
+    best = metrics.filter("model = 'random_forest' AND metric = 'roc_auc'").first()["value"]
+    assert best > 0.9
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "trained" / "evaluation_report")).collect()]
+    assert "- Features: 3" in lines and "| nmap_syn_scan | 420 |" in lines
+    texts = spark.createDataFrame([(1, "first"), (2, "second")], "flow_num INT, explanation STRING")
+    prompts = jobs.explain_job(spark, str(tmp_path / "labeled"), str(tmp_path / "trained"),
+                               str(tmp_path / "explained"), texts)
+    assert sorted(r["flow_num"] for r in prompts.collect()) == [1, 2]
+    report = [r[0] for r in spark.read.text(str(tmp_path / "explained" / "explanations")).collect()]
+    assert "**Total flows explained: 2**" in report
+    (tmp_path / "eve.json").write_text('{"event_type":"dns"}\n{"event_ty')
+    counts = jobs.ids_job(spark, [str(tmp_path / "eve.json")], str(tmp_path / "ids"))
+    assert {r["event_type"]: r["events"] for r in counts.collect()}["malformed"] == 1
