@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import safe_ratio
@@ -10,7 +12,7 @@ from flowlake.functions.times import micros
 from flowlake.plans import windows
 from flowlake.plans.ordered import carry_last, ordered_slices, running_totals
 
-RANGE_JOIN_LIMIT = 256  # segments compared one by one with each flow
+RANGE_JOIN_LIMIT = 64  # segments compared one by one with each flow
 
 
 def _finish(joined: DataFrame) -> DataFrame:
@@ -21,32 +23,38 @@ def _finish(joined: DataFrame) -> DataFrame:
             .drop("_scenario"))
 
 
-def _range_join(flows: DataFrame, segments: DataFrame, time: str) -> DataFrame:
+def _range_join(flows: DataFrame, segments: list[tuple], time: str) -> DataFrame:
     """Broadcast range join; flows are neither shuffled nor duplicated."""
     inside = micros(F.col(time)).between(F.col("_lo"), F.col("_hi"))
-    build = segments.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
-                            F.col("scenario").alias("_scenario"))
+    build = flows.sparkSession.createDataFrame(
+        segments, "_lo BIGINT, _hi BIGINT, _scenario STRING")
     return flows.join(F.broadcast(build), inside, "left").drop("_lo", "_hi")
 
 
-def _block_join(flows: DataFrame, segments: DataFrame, time: str) -> DataFrame:
-    """J7, bounded log: find the block of consecutive segments, then the segment in it.
+def _lookup(flows: DataFrame, segments: list[tuple], time: str) -> DataFrame:
+    """J7, bounded log: binary search in the sorted segments, sent once to each executor.
 
-    Both build sides are within ``DRIVER_LIMIT`` rows and broadcast. Blocks hold equally
-    many segments, so a flow costs the same number of tests wherever windows crowd.
+    A range join would test every segment for every flow. Spark has no search in an array,
+    so this is an Arrow-batched function of the time column alone; flows are not shuffled.
+    The caller has checked that the segments come from at most ``DRIVER_LIMIT`` windows.
     """
-    # The segment list is bounded (checked by the caller), so one task may number it.
-    numbered = segments.withColumn(
-        "_block", F.floor((F.row_number().over(Window.orderBy("lo")) - 1) / windows.BLOCK))
-    blocks = numbered.groupBy("_block").agg(F.min("lo").alias("_first"), F.max("hi").alias("_last"))
-    at = micros(F.col(time))
-    with_block = flows.join(
-        F.broadcast(blocks), at.between(F.col("_first"), F.col("_last")), "left")
-    build = numbered.select(F.col("_block").alias("_b"), F.col("lo").alias("_lo"),
-                            F.col("hi").alias("_hi"), F.col("scenario").alias("_scenario"))
-    match = (F.col("_block") == F.col("_b")) & at.between(F.col("_lo"), F.col("_hi"))
-    return (with_block.join(F.broadcast(build), match, "left")
-            .drop("_block", "_first", "_last", "_b", "_lo", "_hi"))
+    names = sorted({s for _, _, s in segments})
+    place = {n: i for i, n in enumerate(names)}
+    shared = flows.sparkSession.sparkContext.broadcast((
+        np.array([lo for lo, _, _ in segments], "int64"),
+        np.array([hi for _, hi, _ in segments], "int64"),
+        np.array([place[s] for _, _, s in segments], "int64"), np.array([*names, None], object)))
+
+    @F.pandas_udf("string")
+    def scenario_at(at: pd.Series) -> pd.Series:
+        starts, ends, scenarios, texts = shared.value
+        us = at.to_numpy("int64")
+        i = np.searchsorted(starts, us, side="right") - 1
+        hit = (i >= 0) & (us <= ends[i])
+        return pd.Series(texts[np.where(hit, scenarios[i], len(texts) - 1)])
+
+    known = F.coalesce(micros(F.col(time)), F.lit(-1 << 62))
+    return flows.withColumn("_scenario", scenario_at(known))
 
 
 def _as_of_join(flows: DataFrame, segments: DataFrame, time: str) -> DataFrame:
@@ -77,14 +85,15 @@ def label_flows(flows: DataFrame, sessions: DataFrame, time: str = "ts",
                 broadcast_limit: int = windows.DRIVER_LIMIT) -> DataFrame:
     """Adds ``label`` (1 inside any window) and ``scenario`` (last window wins).
 
-    The size of the log, which is counted first, decides the join: a range join, a block
-    lookup, or for a log too large to broadcast an as-of scan.
+    The size of the log, which is counted first, decides the join: a range join, a
+    search in a shared array, or for a log too large for that an as-of scan.
     """
-    segments, count = windows.segments(sessions, broadcast_limit)
-    if count is None:
-        joined = _as_of_join(flows, segments, time)
-    elif count > range_limit:
-        joined = _block_join(flows, segments, time)
+    segments = windows.bounded_segments(sessions, broadcast_limit)
+    if segments is None:
+        everything = windows.flatten_distributed(windows.window_bounds(sessions))
+        joined = _as_of_join(flows, everything, time)
+    elif len(segments) > range_limit:
+        joined = _lookup(flows, segments, time)
     else:
         joined = _range_join(flows, segments, time)
     return _finish(joined)

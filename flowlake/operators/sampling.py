@@ -82,9 +82,10 @@ def find_cuts(keyed: DataFrame, wanted: Wanted) -> tuple[dict, dict]:
         if open_cells:
             small = all(rows <= SMALL_CELL for _, _, rows in open_cells.values())
             digits = KEY_DIGITS if small else min(KEY_DIGITS, digits + DIGITS)
-            inside = _any([(F.col(GROUP) == g) & F.col(KEY).startswith(p)
-                           for g, (p, _, _) in open_cells.items()])
-            cells = _histogram(keyed.filter(inside), digits)
+            # All open cells have prefixes of one length; the key is computed once per row.
+            known = len(next(iter(open_cells.values()))[0])
+            cell = _by_group({g: p for g, (p, _, _) in open_cells.items()})
+            cells = _histogram(keyed.filter(F.substring(KEY, 1, known) == cell), digits)
     return cuts, sizes
 
 
@@ -93,8 +94,12 @@ def _histogram(keyed: DataFrame, digits: int) -> list[Row]:
             .agg(F.count("*").alias("n")).collect())
 
 
-def _any(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _by_group(values: Mapping[int | str, str]) -> Column:
+    """Text per group, null for other groups."""
+    out = F.lit(None).cast("string")
+    for g, value in values.items():
+        out = F.when(F.col(GROUP) == g, value).otherwise(out)
+    return out
 
 
 def expand_copies(df: DataFrame, copies: str) -> DataFrame:
@@ -118,15 +123,17 @@ def mark_lowest(df: DataFrame, wanted: Wanted, key: Column, group: Column,
     cuts, _ = find_cuts(keyed.select(GROUP, KEY), wanted)
     if not cuts:
         return df.withColumn(out, F.lit(False))
-    below = _any([(F.col(GROUP) == g) & (F.col(KEY) <= c.key if c.exact else F.col(KEY) < c.key)
-                  for g, c in cuts.items()])
+    whole = [g for g, c in cuts.items() if c.key == LAST_KEY]
+    bounds = _by_group({g: c.key for g, c in cuts.items() if g not in whole})
+    below = F.coalesce(F.col(KEY) <= bounds, F.lit(False))
+    if whole:  # no key is computed for rows that are in anyway
+        below = F.when(F.col(GROUP).isin(whole), True).otherwise(below)
     torn = {g: c for g, c in cuts.items() if not c.exact}
     if not torn:
-        return (keyed.withColumn(out, F.coalesce(below, F.lit(False))).drop(KEY, GROUP))
-    tied = _any([(F.col(GROUP) == g) & (F.col(KEY) == c.key) for g, c in torn.items()])
-    clear = keyed.filter(~F.coalesce(tied, F.lit(False))) \
-        .withColumn(out, F.coalesce(below, F.lit(False))).drop(KEY, GROUP)
-    parts = [clear]
+        return keyed.withColumn(out, below).drop(KEY, GROUP)
+    # Rows at a torn cut are told apart below; without them "at most" means "below".
+    tied = F.coalesce(F.col(KEY) == _by_group({g: c.key for g, c in torn.items()}), F.lit(False))
+    parts = [keyed.filter(~tied).withColumn(out, below).drop(KEY, GROUP)]
     for g, c in torn.items():
         ties = keyed.filter((F.col(GROUP) == g) & (F.col(KEY) == c.key)).drop(KEY, GROUP)
         parts.append(_mark_ties(ties, c.take, out))

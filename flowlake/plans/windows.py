@@ -21,11 +21,8 @@ from flowlake.functions.times import micros
 from flowlake.plans.ordered import ordered_slices, running_totals
 
 DRIVER_LIMIT = 100_000  # windows; about 10 MB as rows, also the bound of what is broadcast
-BLOCK = 256             # segments per block of the two-step lookup
 TOP_NODES = 1024        # interval nodes that are broadcast in the distributed cut
 
-SEGMENT_SCHEMA = "lo BIGINT, hi BIGINT, scenario STRING"
-
 
 def window_bounds(sessions: DataFrame) -> DataFrame:
     """(lo, hi, ord, scenario): closed bounds in microseconds."""
@@ -95,11 +92,7 @@ def flatten_distributed(bounds: DataFrame) -> DataFrame:
             .select(F.col("cut").alias("lo"), "hi", F.col("win.scenario").alias("scenario")))
 
 
-def segments(sessions: DataFrame, limit: int = DRIVER_LIMIT) -> tuple[DataFrame, int | None]:
-    """Disjoint segments and their number, or None for the number of an unbounded log."""
-    bounds = window_bounds(sessions)
-    rows = bounded_rows(bounds, limit)
-    if rows is None:
-        return flatten_distributed(bounds), None
-    swept = list(sweep(rows))
-    return sessions.sparkSession.createDataFrame(swept, SEGMENT_SCHEMA), len(swept)
+def bounded_segments(sessions: DataFrame, limit: int = DRIVER_LIMIT) -> list[tuple] | None:
+    """Disjoint segments in time order, or None for a log of more than ``limit`` windows."""
+    rows = bounded_rows(window_bounds(sessions), limit)
+    return None if rows is None else list(sweep(rows))

@@ -121,8 +121,10 @@ MATRIX_SQL = """matrix AS (
               ELSE l_extendedprice / l_quantity END AS unit_price,
          CAST(l_returnflag <> 'R' AS INTEGER) AS label,
          md5(concat_ws('|', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-             CAST(l_quantity AS DECIMAL(18,2)), CAST(l_extendedprice AS DECIMAL(18,2)),
-             CAST(l_discount AS DECIMAL(18,2)), CAST(l_tax AS DECIMAL(18,2)),
+             CAST(floor(l_quantity * 100 + 0.5::DOUBLE) AS BIGINT),
+             CAST(floor(l_extendedprice * 100 + 0.5::DOUBLE) AS BIGINT),
+             CAST(floor(l_discount * 100 + 0.5::DOUBLE) AS BIGINT),
+             CAST(floor(l_tax * 100 + 0.5::DOUBLE) AS BIGINT),
              l_returnflag, l_linestatus, CAST(CAST(l_shipdate AS DATE) AS VARCHAR))) AS h
   FROM lineitem),
 clean AS (SELECT * FROM matrix WHERE unit_price IS NOT NULL AND isfinite(unit_price))"""
@@ -133,7 +135,7 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
 
     def money(c: str) -> Column:
-        return F.col(c).cast("decimal(18,2)").cast("string")
+        return F.floor(F.col(c) * 100 + 0.5).cast("string")
 
     return li.select(
         F.col("l_suppkey").cast("string").alias("src_ip"),

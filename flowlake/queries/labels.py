@@ -82,7 +82,7 @@ FROM flows f LEFT JOIN hits h USING (flow_id)"""
 
 @query("j7_many_session_join", _ACTIVITY_LABELS_SQL)
 def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A window per user and day: block lookup, as-of scan beyond the broadcast bound."""
+    """A window per user and day: array search, as-of scan beyond the bound."""
     return (labeling.label_flows(flows(spark, sf_dir), activity_sessions(spark, sf_dir))
             .select("flow_id", "label", "scenario"))
 

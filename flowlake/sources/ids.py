@@ -11,12 +11,15 @@ EVENT_SCHEMA = ("event_type STRING, timestamp STRING, src_ip STRING, dest_ip STR
 
 
 def parse_ids_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Event columns beside the line's other columns; ``_corrupt`` keeps a bad line's text."""
+    """Event columns beside the line's other columns; ``_corrupt`` keeps a bad line's text.
+
+    The generator keeps the parse a step of its own: as a plain column, every filter pushed
+    below would parse the line again.
+    """
     parsed = F.from_json(F.col(column), EVENT_SCHEMA,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rest = [c for c in lines.columns if c != column]
-    return (lines.filter(F.trim(column) != "")
-            .select(*rest, parsed.alias("_e")).select(*rest, "_e.*"))
+    return lines.filter(F.trim(column) != "").select(*rest, F.inline(F.array(parsed)))
 
 
 def read_ids_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:

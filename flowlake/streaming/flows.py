@@ -54,8 +54,7 @@ def land_new_files(spark: SparkSession, path: str, out: str, checkpoint: str,
 def label_stream(flows: DataFrame, sessions: DataFrame, time: str = "ts",
                  range_limit: int = RANGE_JOIN_LIMIT) -> DataFrame:
     """J1 against a static log. A log too large to broadcast goes batch by batch."""
-    _, count = windows.segments(sessions)
-    if count is None:
+    if windows.bounded_segments(sessions) is None:
         raise ValueError("log exceeds the broadcast bound: use label_batches")
     return label_flows(flows, sessions, time, range_limit)
 

@@ -29,7 +29,7 @@ def labels(df):
     return [r["scenario"] for r in df.orderBy("flow_id").collect()]
 
 
-PLANS = {"range": {}, "block": {"range_limit": 0}, "as_of": {"broadcast_limit": 0}}
+PLANS = {"range": {}, "lookup": {"range_limit": 0}, "as_of": {"broadcast_limit": 0}}
 
 
 @pytest.fixture(params=list(PLANS))
@@ -103,10 +103,11 @@ def test_plans_agree_with_brute_force(spark, seed):
 def test_segments_are_disjoint(spark):
     rng = random.Random(9)
     log = [(i, at(s := rng.randrange(100)), at(s + rng.randrange(40)), f"s{i}") for i in range(30)]
-    small, _ = windows.segments(make_sessions(spark, log))
-    large, count = windows.segments(make_sessions(spark, log), limit=0)
-    assert count is None
-    small, large = (sorted(map(tuple, d.collect())) for d in (small, large))
+    sessions = make_sessions(spark, log)
+    small = windows.bounded_segments(sessions)
+    assert windows.bounded_segments(sessions, limit=29) is None
+    large = windows.flatten_distributed(windows.window_bounds(sessions))
+    large = sorted(map(tuple, large.collect()))
     assert small == large
     assert all(a[1] < b[0] for a, b in zip(small, small[1:]))
 
