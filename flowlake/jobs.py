@@ -16,7 +16,7 @@ from flowlake.functions.numeric import clean_columns
 from flowlake.functions.times import with_flow_time
 from flowlake.operators import alerts, evaluation, ids, labeling, models, quality, sampling
 from flowlake.scratch import materialize
-from flowlake.session import build_session
+from flowlake.session import build_session, shuffle_partitions
 from flowlake.sources import sinks
 from flowlake.sources.flows import read_flows
 from flowlake.sources.ids import read_ids_events
@@ -148,8 +148,11 @@ def main() -> None:
     events.add_argument("--events", nargs="+", required=True)
     for job in (label, train, explain, events):
         job.add_argument("--out", required=True)
+        job.add_argument("--input-gb", type=int, default=0,
+                         help="size of the input, for the number of shuffle partitions")
     args = parser.parse_args()
-    spark = build_session(f"flowlake-{args.job}")
+    parts = shuffle_partitions(args.input_gb << 30)
+    spark = build_session(f"flowlake-{args.job}", **{"spark.sql.shuffle.partitions": str(parts)})
     if args.job == "label":
         label_job(spark, args.flows, args.sessions, args.out,
                   JobParams(offset_hours=args.offset_hours)).show(1000, truncate=False)

@@ -37,16 +37,16 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p4_split_targets", """
-SELECT ord, 'h' || target AS target FROM (
-  SELECT user_id * 100 + day(ts) AS ord, unnest(list(DISTINCT event_type)) AS target
-  FROM events GROUP BY user_id, day(ts))""")
+SELECT event_id AS ord, unnest(['10.0.0.' || user_id, event_type, '10.0.1.' || (user_id % 7)]) AS target
+FROM events""")
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three targets per row, written with quotes and uneven blanks."""
     f = flows(spark, sf_dir)
-    logs = (f.groupBy((F.col("src") * 100 + F.dayofmonth("ts")).alias("ord"))
-            .agg(F.array_join(F.transform(F.collect_set("kind"), lambda k: F.concat(F.lit("h"), k)),
-                              " , ").alias("targets")))
-    return session_source.session_targets(
-        logs.withColumn("targets", session_source.split_targets(F.col("targets"))))
+    user = F.col("src").cast("string")
+    text = F.concat(F.lit('"10.0.0.'), user, F.lit(" , "), "kind", F.lit(",10.0.1."),
+                    (F.col("src") % 7).cast("string"), F.lit('"'))
+    logs = f.select(F.col("flow_id").alias("ord"), session_source.split_targets(text).alias("targets"))
+    return session_source.session_targets(logs)
 
 
 _LABEL_OUT = "SELECT flow_id, label, scenario FROM labeled"

@@ -15,6 +15,14 @@ REQUIRED = {
 }
 
 
+SHUFFLE_PART_BYTES = 128 << 20
+
+
+def shuffle_partitions(shuffled_bytes: int, at_least: int = 200) -> int:
+    """Parts of about 128 MB for a shuffle of the given size; adaptive execution may merge some."""
+    return max(at_least, -(-shuffled_bytes // SHUFFLE_PART_BYTES))
+
+
 def build_session(app: str = "flowlake", master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC and adaptive execution on; ``conf`` adds or overrides settings."""
     builder = SparkSession.builder.appName(app)
