@@ -54,15 +54,23 @@ def _crossing(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _attach(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(F.broadcast(carried), [SLICE, *keys], "left")
+    """Left join on slice and key; a missing key value is a key like any other."""
+    names = [SLICE, *keys]
+    renamed = carried.select(*[F.col(k).alias(f"_r_{k}") if k in names else F.col(k)
+                               for k in carried.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in names]
+    return df.join(F.broadcast(renamed), same, "left").drop(*[f"_r_{k}" for k in names])
 
 
 def with_previous(sliced: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                   value: str, out: str) -> DataFrame:
     """``out`` = ``value`` of the row before, within the key; null on the first row."""
     here = _window(keys, order)
-    place = F.struct(*[F.col(o) for o in order])  # order must be ascending columns
-    last = sliced.groupBy(SLICE, *keys).agg(F.max_by(value, place).alias("_last"))
+    if value == order[0]:  # a plain maximum, which hash aggregation can hold
+        latest = F.max(value)
+    else:
+        latest = F.max_by(value, F.struct(*[F.col(o) for o in order]))
+    last = sliced.groupBy(SLICE, *keys).agg(latest.alias("_last"))
     across = Window.partitionBy(*keys).orderBy(SLICE)
     carried = (_crossing(last, keys)
                .withColumn("_carried", F.lag("_last").over(across))
