@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlake.llm.common import documents
+from flowlake.llm.decontamination import passages
+from flowlake.llm.language import languages
 from flowlake.llm.mixing import mix
+from flowlake.llm.phrases import repeated_passages
 from flowlake.llm.pii import personal_data
+from flowlake.llm.quality import quality
 from flowlake.llm.secrets import secrets
 from flowlake.llm.token_counts import token_counts
 from flowlake.llm.token_ids import token_files
@@ -21,6 +25,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
@@ -29,14 +37,28 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(documents(spark, sf_dir))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op4_token_files, op5_secret_scan, op8_token_counts, op10_personal_data)}
+    f.__name__: f for f in (
+        op1_source_mixing, op3_decontamination, op4_token_files, op5_secret_scan, op6_quality_rules, op7_substring_dedup,
+        op8_token_counts, op9_language, op10_personal_data)}
 ORACLES: dict[str, str] = {}
