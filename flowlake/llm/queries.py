@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowlake.llm.common import documents
 from flowlake.llm.decontamination import passages
+from flowlake.llm.jaccard import similar
 from flowlake.llm.language import languages
 from flowlake.llm.mixing import mix
 from flowlake.llm.phrases import repeated_passages
@@ -25,6 +26,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -59,6 +64,6 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_source_mixing, op3_decontamination, op4_token_files, op5_secret_scan, op6_quality_rules, op7_substring_dedup,
+        op1_source_mixing, op2_ngram_jaccard, op3_decontamination, op4_token_files, op5_secret_scan, op6_quality_rules, op7_substring_dedup,
         op8_token_counts, op9_language, op10_personal_data)}
 ORACLES: dict[str, str] = {}
