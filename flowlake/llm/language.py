@@ -1,7 +1,7 @@
 """Language of each document: families first, then pairs of languages within one (operator 9).
 
 Texts become vectors of hashed character pairs and triples. Languages whose mean vectors lie close
-together form a family. One linear support vector machine per family tells it from the rest;
+together are joined to families. One linear support vector machine per family tells it from the rest;
 within a family one machine per pair of languages votes. Machines are fitted on a bounded sample
 of labelled documents; every document is predicted, from its whole text alone.
 """
@@ -23,7 +23,7 @@ BITS = 12
 DIM = 2 << BITS               # pairs and triples, each hashed to 4096 places
 PER_LANGUAGE = 400            # documents of a language in the sample, about
 LANGUAGES = 200               # languages that are learned at most, the most frequent
-CLOSE = 0.8                   # cosine of mean vectors from which languages are one family
+CLOSE = 0.45                  # mean cosine of mean vectors from which families are joined
 EPOCHS = 30
 LAMBDA = 1e-4
 LETTER = regex.compile(r"\p{L}")
@@ -90,12 +90,16 @@ class Model:
 
     @staticmethod
     def _families(close: np.ndarray) -> list[int]:
-        """Number of each language's family: languages joined by cosines of ``CLOSE`` or more."""
-        family = list(range(len(close)))
-        for a, b in combinations(range(len(close)), 2):
-            if close[a, b] >= CLOSE and family[a] != family[b]:
-                family = [family[a] if f == family[b] else f for f in family]
-        return family
+        """Number of each language's family: the two closest families by the mean cosine between their
+        languages are joined, as long as it is ``CLOSE`` or more. Ties go to the first by name."""
+        groups = [[i] for i in range(len(close))]
+        while len(groups) > 1:
+            near, a, b = max((float(close[np.ix_(groups[a], groups[b])].mean()), -a, -b) for a, b in combinations(range(len(groups)), 2))
+            if near < CLOSE:
+                break
+            groups[-a] = groups[-a] + groups.pop(-b)
+        family = {i: k for k, g in enumerate(groups) for i in g}
+        return [family[i] for i in range(len(close))]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores from 0 to 1: a logistic measure of the narrowest decision."""
