@@ -7,6 +7,9 @@ cut on UTF-8 bytes in Python and by ``WORD`` in SQL.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\x0b\x0c\r"
-BATCH_BYTES = 16 << 20
-PART_BYTES = 8 << 20          # text that one Python call handles at a time
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+BATCH_BYTES = 8 << 20
+PART_BYTES = 2 << 20          # text that one Python call handles at a time
 BROADCAST_ROWS = 1 << 20      # keys that may be broadcast, after they were counted
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 16 MB, however long the texts are."""
+    """Arrow batches end at 8 MB, however long the texts are; Python workers find this library.
+
+    Workers that share no files with the driver get it by ``--py-files``.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +41,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def give_back() -> None:
+    """Return what a Python worker no longer holds to the system; workers are kept between tasks."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, max_bytes: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch whose ``text`` has about ``max_bytes`` bytes, one row at least."""
     text = batch.column("text")

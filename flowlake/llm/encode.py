@@ -16,6 +16,8 @@ from itertools import accumulate, chain
 
 import numpy as np
 
+from flowlake.llm.common import give_back
+
 MEMORY = 1_000_000             # pieces remembered by a worker
 LONGEST = 24                  # longer pieces are not remembered
 GROUP = 20_000                # pieces encoded in one call
@@ -25,7 +27,7 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 class Encoder:
     """ids of whole texts as little-endian bytes, or only their numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,7 +45,7 @@ class Encoder:
         if self.cut:
             for token, i in vocabulary.items():
                 self.begins[i] = token.startswith(mark)
-        self.memory: dict[str, bytes] = {}
+        self.remembered, self.memory = remembered, dict[str, bytes]()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -94,7 +96,7 @@ class Encoder:
         if new:
             learned = self._learn(list(new))
             found = [learned[p] if x is None else x for p, x in zip(flat, found)]
-            if len(self.memory) > MEMORY:
+            if len(self.memory) > self.remembered:
                 self.memory = {}
             self.memory.update((p, x) for p, x in learned.items() if len(p) <= LONGEST)
         ends = list(accumulate(map(len, cut)))
@@ -107,6 +109,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = MEMORY) -> Encoder:
     """One encoder a Python worker."""
-    return Encoder(path)
+    return Encoder(path, remembered)
+
+
+def forget() -> None:
+    """Drop a worker's encoders with their pieces, for the sake of other work."""
+    encoder.cache_clear()
+    give_back()

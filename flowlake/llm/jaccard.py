@@ -8,7 +8,7 @@ pair that may reach the threshold passes this bound; the rest is pruned.
 One tree over all documents would prune nothing by place (documents without common text lie
 around one middle), so there is a forest. Sets that reach the threshold share one of their first
 n - ceil(0.8 n) + 1 tokens, in an order of all tokens that puts frequent ones last. Each such
-token that several sets have is a tree of those sets. Links found by bound alone join candidate
+token that several sets have is a tree of those sets, one for each band of sizes. Links found by bound alone join candidate
 classes; whole sets then travel once, to their class, where a second tree and the exact
 intersection decide. Equal sets count as one throughout.
 
@@ -28,15 +28,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from flowlake.llm.common import BROADCAST_ROWS, bound_batches, mix64, pieces, window_hashes
+from flowlake.llm.common import BROADCAST_ROWS, bound_batches, give_back, mix64, pieces, window_hashes
 from flowlake.llm.components import components
+from flowlake.llm.encode import forget
 from flowlake.scratch import materialize
 
 WORDS = 5
 SIMILARITY = 80               # per cent
-GROUPS = 64                   # coordinates of the points that travel
+GROUPS = (64, 4096)           # coordinates of a point at least and at most
+PER_GROUP = 8                 # tokens a coordinate, about, between these
 FREQUENT = 32                 # sets that make a token frequent
-LOOKED = 30                   # per cent of a set's tokens that are counted for it
+LOOKED = 25                   # per cent of a set's tokens that are counted for it
 TREE = 4096                   # points of one tree; larger ones are cut into pairs of tiles
 TREE_BYTES = 64 << 20
 PAGE = 64
@@ -61,22 +63,39 @@ def shingles(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def point(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def groups_for(n: int, similarity: int = SIMILARITY) -> int:
+    """Coordinates of a set's point: a power of two that grows with the largest set it may link with."""
+    largest = 100 * n // similarity
+    return int(np.clip(1 << max(largest.bit_length() - PER_GROUP.bit_length() + 1, 0), *GROUPS))
+
+
+def point(tokens: np.ndarray, groups: int) -> np.ndarray:
+    """Tokens by their low bits, so that halves of a point add up to the point of half the groups."""
     return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch):
-            sets = shingles(part.column("text").to_pylist())
-            prints = [(mix64(s + np.uint64(1)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s ^ np.uint64(0xA5A5A5A5)))) if len(s) else (0, 0) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 *[pa.array(np.array([p[i] for p in prints], np.uint64).view(np.int64)) for i in (0, 1)],
-                 # A count of 255 stands for more: the bound then holds nothing back.
-                 pa.array([np.minimum(point(s), 255).astype(np.uint8).tobytes() for s in sets], pa.binary()),
-                 pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "one", "two", "point", "tokens"])
+def folded(points: list[bytes]) -> np.ndarray:
+    """Points as rows, all with as many coordinates as the one that has fewest."""
+    groups = min(map(len, points))
+    return np.stack([np.frombuffer(p, np.uint8).astype(np.int32).reshape(-1, groups).sum(axis=0) for p in points])
+
+
+def _sets(similarity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            for part in pieces(batch):
+                sets = shingles(part.column("text").to_pylist())
+                prints = [(mix64(s + np.uint64(1)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s ^ np.uint64(0xA5A5A5A5)))) if len(s) else (0, 0) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                     *[pa.array(np.array([p[i] for p in prints], np.uint64).view(np.int64)) for i in (0, 1)],
+                     # A count of 255 stands for more: the bound then holds nothing back.
+                     pa.array([np.minimum(point(s, groups_for(len(s), similarity)), 255).astype(np.uint8).tobytes() for s in sets], pa.binary()),
+                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "n", "one", "two", "point", "tokens"])
+        give_back()
+    return run
 
 
 def _tokens(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -108,6 +127,7 @@ def _prefixes(frequent: Broadcast, similarity: int):
             flat = np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)
             docs = np.repeat(np.asarray(batch.column("doc_id"), np.int64), [len(p) for p in parts])
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(docs)], ["token", "node"])
+        give_back()
     return run
 
 
@@ -170,22 +190,39 @@ class Tree:
         return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows of equal ``key`` from batches sorted by it."""
-    carry: list[pa.RecordBatch] = []
+def tree_links(size: np.ndarray, points: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """``Tree.links`` by bound alone; two points need no tree."""
+    if len(size) != 2:
+        return Tree(size, points, similarity).links() if len(size) else []
+    a, b = size.tolist()
+    overlap = min(a, b) if (points >= 255).any() else int(np.minimum(points[0], points[1]).sum())
+    enough = (100 + similarity) * overlap >= similarity * (a + b) and 100 * min(a, b) >= similarity * max(a, b)
+    return [(0, 1)] if enough else []
+
+
+def _runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(nodes, sizes, ``name`` column) of the rows of each tree, from batches sorted by it."""
+    last, held = None, []
     for batch in batches:
-        k = np.asarray(batch.column(key))
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
+        tree, nodes, sizes = (np.asarray(batch.column(c)) for c in ("tree", "node", "n"))
+        data = batch.column(name).to_pylist()
+        cuts = [0, *(np.flatnonzero(tree[1:] != tree[:-1]) + 1).tolist(), len(tree)]
         for a, b in zip(cuts, cuts[1:]):
             if a == b:
                 continue
-            part = batch.slice(a, b - a)
-            if carry and carry[-1].column(key)[0].as_py() != int(k[a]):
-                yield pa.Table.from_batches(carry)
-                carry = []
-            carry.append(part)
-    if carry:
-        yield pa.Table.from_batches(carry)
+            if held and last != tree[a]:
+                yield _one(held)
+                held = []
+            held.append((nodes[a:b], sizes[a:b], data[a:b]))
+            last = tree[a]
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    if len(parts) == 1:
+        return parts[0]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [x for p in parts for x in p[2]]
 
 
 def _links(nodes: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -195,26 +232,27 @@ def _links(nodes: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _by_bound(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, rows = [], 0
-        for t in _runs(batches, "tree"):
-            nodes = np.asarray(t.column("node"))
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-            made.append(_links(nodes, Tree(np.asarray(t.column("n")), points, similarity).links()))
-            rows += made[-1].num_rows
-            if rows >= 50_000 or len(made) >= 2000:
-                yield pa.Table.from_batches(made).combine_chunks().to_batches()[0] if rows else made[0]
-                made, rows = [], 0
-        if rows:
-            yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+        a, b = [], []
+        for nodes, sizes, points in _runs(batches, "point"):
+            for p, q in tree_links(sizes, folded(points), similarity):
+                a.append(nodes[p])
+                b.append(nodes[q])
+            if len(a) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
     return run
 
 
 def _exactly(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, "tree"):
-            nodes, size = np.asarray(t.column("node")), np.asarray(t.column("n"))
-            sets = [np.frombuffer(x, "<u8") for x in t.column("tokens").to_pylist()]
-            groups = 1 << int(np.clip(np.log2(max(np.median(size), 1)) - 1, 4, 9))
+        for nodes, size, tokens in _runs(batches, "tokens"):
+            if len(nodes) < 2:
+                continue
+            sets = [np.frombuffer(x, "<u8") for x in tokens]
+            groups = min(groups_for(int(np.median(size)), similarity), 512)
             points = np.stack([np.minimum(point(s, groups), 255) for s in sets]).astype(np.int32)
 
             def exact(p: int, others: np.ndarray) -> np.ndarray:
@@ -225,6 +263,7 @@ def _exactly(similarity: int):
             found = Tree(size, points, similarity).links(exact)
             if found:
                 yield _links(nodes, found)
+        give_back()
     return run
 
 
@@ -286,7 +325,7 @@ def similar(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    sets = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sets, SETS), "sets")
+    sets = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sets(similarity), SETS), "sets")
     narrow = sets.select("doc_id", "n", "one", "two")
     classes = materialize(narrow.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id")), "classes")
 
@@ -301,8 +340,11 @@ def similar(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
               .filter("sets > 1"))
     # Tokens of the same sets are one tree.
     lists = materialize(shared.groupBy("list", "sets", "node").agg(F.lit(1).alias("x")).drop("x"), "lists")
-    placed = lists.join(points.select(F.col("doc_id").alias("node"), "n", "point"), "node")
-    trees = _trees(placed.withColumn("key", F.xxhash64("list", "sets")), "key", F.ceil(F.col("sets") / F.lit(TREE)))
+    # Bands of like size, one for each doubling. A set stands in its own band and in that of the
+    # largest set it may link with, so that two sets that may link meet in the band of the larger.
+    bands = F.array_distinct(F.array(F.length(F.bin("n")), F.length(F.bin(F.floor(F.col("n") * 100 / F.lit(similarity))))))
+    placed = lists.join(points.select(F.col("doc_id").alias("node"), "n", "point"), "node").withColumn("band", F.explode(bands))
+    trees = _trees(placed.withColumn("key", F.xxhash64("list", "sets", "band")), "key", F.ceil(F.col("sets") / F.lit(TREE)))
     candidates = _dealt(trees.select("tree", "node", "n", "point")).mapInArrow(_by_bound(similarity), "a long, b long")
     classed = materialize(components(candidates), "candidate-classes")
 

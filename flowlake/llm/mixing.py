@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import WORD
+from flowlake.llm.common import WORD, bound_batches
 from flowlake.scratch import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -135,6 +135,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 def mix_sized(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST,
               bucket: int = BUCKET, seed: int = SEED) -> DataFrame:
     """``mix`` of written rows (doc_id, source, size)."""
+    bound_batches(sized.sparkSession)
     targets = materialize(source_targets(sized, weights, share, most).withColumn(
         "source_no", F.monotonically_increasing_id()), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

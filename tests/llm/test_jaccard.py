@@ -49,15 +49,10 @@ def test_families(spark, families):
 
 
 def test_small_trees_and_frequent_tokens(spark, families, monkeypatch):
-    """Tiles, tiny pages and frequent tokens give the same classes."""
+    """Tiles, tiny pages, frequent tokens and joins without broadcasts give the same classes."""
     for name, value in (("TREE", 3), ("PAGE", 2), ("FREQUENT", 2), ("TREE_BYTES", 4000)):
         monkeypatch.setattr(jaccard, name, value)
-    got = {r.doc_id: r.component_id for r in similar(table(spark, list(families.items()))).collect()}
-    assert got == linked(families)
-
-
-def test_without_broadcasts(spark, families, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "_few", lambda df: False)
     got = {r.doc_id: r.component_id for r in similar(table(spark, list(families.items()))).collect()}
     assert got == linked(families)
 
@@ -107,6 +102,18 @@ def test_tree_finds_what_the_bound_allows():
         assert got == set(np.flatnonzero(want).tolist())
     found = Tree(size, points).links()
     assert len(found) <= len(points) - 1
+    for i in range(1, 400):
+        pair = np.array([0, i])
+        assert jaccard.tree_links(size[pair], points[pair], 80) == Tree(size[pair], points[pair]).links()
+
+
+def test_points_fold():
+    rng = np.random.RandomState(4)
+    tokens = np.unique(mix64(rng.randint(0, 10**9, 3000).astype(np.uint64)))
+    wide, narrow = (jaccard.point(tokens, g).astype(np.uint8).tobytes() for g in (512, 64))
+    assert jaccard.folded([wide, narrow])[0].tolist() == jaccard.point(tokens, 64).tolist()
+    sizes = [jaccard.groups_for(n) for n in (1, 50, 600, 5000, 10**6)]
+    assert sizes == sorted(sizes) and sizes[0] == 64 and sizes[-1] == 4096 and sizes[3] >= 5000 / 16
 
 
 def test_prefixes_of_links_meet():
@@ -126,5 +133,5 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7, **{i: 15 for i in range(15, 21)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
-    chain = [(i, i + 1) for i in range(200)]
+    chain = [(i, i + 1) for i in range(40)]
     assert {r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()} == {0}
