@@ -66,4 +66,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_source_mixing, op2_ngram_jaccard, op3_decontamination, op4_token_files, op5_secret_scan, op6_quality_rules, op7_substring_dedup,
         op8_token_counts, op9_language, op10_personal_data)}
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": f"""
+WITH RECURSIVE cut AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM cut),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT h.a, h.b, h.n = x.n AND h.n = y.n AS equal FROM shared h JOIN sizes x ON x.doc_id = h.a JOIN sizes y ON y.doc_id = h.b
+  WHERE 100 * h.n >= 80 * (x.n + y.n - h.n)),
+two_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, b FROM reach JOIN two_way ON a = r),
+classes AS (SELECT b AS doc_id, min(a) AS c FROM links WHERE equal GROUP BY b),
+parts AS (SELECT d, min(r) AS c FROM reach GROUP BY d)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, p.c AS component_id, coalesce(k.c, t.doc_id) AS class_id
+FROM documents t LEFT JOIN sizes s USING (doc_id) LEFT JOIN classes k USING (doc_id) JOIN parts p ON p.d = t.doc_id""",
+    "op7_substring_dedup": f"""
+WITH cut AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+runs AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM cut)),
+firsts AS (SELECT h, min(doc_id) AS f FROM runs GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + j AS place FROM runs JOIN firsts USING (h), range(50) r(j) WHERE f < doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM cut),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS k FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM cut LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}
