@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import BROADCAST_ROWS, WHITE, bound_batches, pieces, window_hashes
+from flowlake.llm.common import BROADCAST_ROWS, WHITE, bound_batches, give_back, pieces, window_hashes
+from flowlake.llm.encode import forget
 from flowlake.scratch import materialize
 
 SYMBOLS = b"#*$%&|<>"
@@ -30,10 +31,10 @@ REPEATED = 0.2
 WINDOW = 5
 KEPT = 0.75                   # share of a group that a concentration step keeps
 STEPS = 4
-TAIL = 1e-9                   # of the chi-squared distribution beyond which a document is rejected
+TAIL = 1e-8                   # of the chi-squared distribution beyond which a document is rejected
 LEAST_GROUP = 50              # smaller groups are judged by their language, or by all documents
 # Least deviation of each transformed statistic: what differs by less is the same.
-FLOOR = (0.05, 0.12, 0.12, 0.12)
+FLOOR = (0.05, 0.10, 0.12, 0.12)
 P = len(FLOOR)
 STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
@@ -87,10 +88,12 @@ def with_stats(docs: DataFrame) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(STATS.replace("n_", "_q_n_").replace("word_chars", "_q_word_chars")).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in pieces(batch):
                 stats = [pa.array(x) for x in text_stats(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *stats], [*part.schema.names, *(f"_q_{n}" for n in STAT_NAMES)])
+        give_back()
 
     struct = F.struct(*[F.col(f"_q_{n}").alias(n) for n in STAT_NAMES])
     return df.mapInArrow(run, schema).select(*[f"`{c}`" for c in own], struct.alias("stats"))
@@ -159,6 +162,7 @@ def _inverse(factor: float):
 
 def fit(stats: DataFrame, share: float = KEPT, steps: int = STEPS) -> DataFrame:
     """(key, mean, inverse) of each group of at least ``LEAST_GROUP`` rows, from written (keys, x)."""
+    bound_batches(stats.sparkSession)
     rows = stats.select("x", F.explode("keys").alias("key"))
     sized = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP)
     quartiles = [F.percentile_approx(F.get("x", F.lit(i)), [0.25, 0.5, 0.75], 1000) for i in range(P)]
