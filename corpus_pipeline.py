@@ -20,6 +20,7 @@ from flowlake.llm.token_ids import token_files
 from flowlake.scratch import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
+REMEMBERED = 300_000          # pieces that a worker keeps, beside the memory of the other stages
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -45,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all documents, copies included, in files that are read back (operator 4)."""
-    return token_files(docs, public_tokenizers.path(TOKENIZER))
+    return token_files(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Stage]] = [

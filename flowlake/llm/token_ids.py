@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import PART_BYTES, bound_batches, pieces
-from flowlake.llm.encode import encoder
+from flowlake.llm.common import bound_batches, give_back, pieces
+from flowlake.llm.encode import MEMORY, encoder
 from flowlake.scratch import scratch_path
 
 END = 0
@@ -46,12 +46,12 @@ def _names(schema: str) -> list[str]:
     return [column.split()[0] for column in schema.split(",")]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end: int = END, remembered: int = MEMORY) -> DataFrame:
     """(doc_id, n_tokens, ids): little-endian ids of each text and the end id. Null is empty."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         tail = np.array([end], enc.dtype).tobytes()
         for batch in batches:
             for part in pieces(batch):
@@ -59,6 +59,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end: int = END) -> DataFra
                 sizes = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(ids, pa.binary())],
                                                  ["doc_id", "n_tokens", "ids"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, IDS)
 
@@ -219,16 +220,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END, longest: int = LONGEST_CODE) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END, longest: int = LONGEST_CODE,
+                      remembered: int = MEMORY) -> None:
     """Write ``path``/blocks and ``path``/code: ids of every text, in ascending doc_id order.
 
+    ``remembered`` bounds the pieces of text whose ids a worker keeps, about 170 bytes each.
+
     A null doc_id comes first. Documents that share a doc_id stand side by side, by the checksum
     of their ids. A null text has the end id alone. No documents give files without blocks.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     work = scratch_path(spark, "token-ids")
-    encode_documents(docs, tokenizer, end).write.option("compression", "zstd").parquet(work)
+    encode_documents(docs, tokenizer, end, remembered).write.option("compression", "zstd").parquet(work)
     ids = spark.read.schema(IDS).parquet(work)
     dtype = encoder(tokenizer).dtype.str
     counts = id_counts(ids, dtype)
@@ -308,8 +312,8 @@ def huffman_cost(counts: dict[int, int]) -> int:
     return total
 
 
-def token_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, remembered: int = MEMORY) -> DataFrame:
     """Write the files (below the session's shared folder if no path is given) and read them back."""
     path = path or scratch_path(docs.sparkSession, "token-files")
-    write_token_files(docs, path, tokenizer)
+    write_token_files(docs, path, tokenizer, remembered=remembered)
     return read_token_files(docs.sparkSession, path)
