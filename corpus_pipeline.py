@@ -20,7 +20,8 @@ from flowlake.llm.token_ids import token_files
 from flowlake.scratch import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
-REMEMBERED = 300_000          # pieces that a worker keeps, beside the memory of the other stages
+# Pieces that a worker keeps, and bytes that it encodes at a time: executors hold other stages' memory too.
+REMEMBERED, BATCH_BYTES = 300_000, 2 << 20
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -46,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all documents, copies included, in files that are read back (operator 4)."""
-    return token_files(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
+    return token_files(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED, batch_bytes=BATCH_BYTES)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -20,6 +20,7 @@ from flowlake.llm.common import give_back
 
 MEMORY = 1_000_000             # pieces remembered by a worker
 LONGEST = 24                  # longer pieces are not remembered
+BATCH = 8 << 20               # bytes of text encoded at a time; equal pieces in it are encoded once
 GROUP = 20_000                # pieces encoded in one call
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 

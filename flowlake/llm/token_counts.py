@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import PART_BYTES, bound_batches, pieces
+from flowlake.llm.common import bound_batches, pieces
+from flowlake.llm.encode import BATCH, encoder
 
 LIMIT = 1024
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, batch_bytes: int = PART_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, batch_bytes: int = BATCH) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; no shuffle, ids never leave the worker.
 
     ``tokenizer`` is the path of a vocabulary file that every executor has: ``.json`` for the
@@ -45,8 +46,6 @@ def _counter(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)] if texts else []
-    from flowlake.llm.encode import encoder
-
     enc = encoder(path)
     return lambda texts: [len(x) // enc.dtype.itemsize for x in enc.encode(texts)]
 

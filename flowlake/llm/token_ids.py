@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.llm.common import bound_batches, give_back, pieces
-from flowlake.llm.encode import MEMORY, encoder
+from flowlake.llm.encode import BATCH, MEMORY, encoder
 from flowlake.scratch import scratch_path
 
 END = 0
@@ -46,7 +46,7 @@ def _names(schema: str) -> list[str]:
     return [column.split()[0] for column in schema.split(",")]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end: int = END, remembered: int = MEMORY) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end: int = END, remembered: int = MEMORY, batch_bytes: int = BATCH) -> DataFrame:
     """(doc_id, n_tokens, ids): little-endian ids of each text and the end id. Null is empty."""
     bound_batches(docs.sparkSession)
 
@@ -54,7 +54,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end: int = END, remembered
         enc = encoder(tokenizer, remembered)
         tail = np.array([end], enc.dtype).tobytes()
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, batch_bytes):
                 ids = [x + tail for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
                 sizes = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(ids, pa.binary())],
@@ -221,10 +221,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END, longest: int = LONGEST_CODE,
-                      remembered: int = MEMORY) -> None:
+                      remembered: int = MEMORY, batch_bytes: int = BATCH) -> None:
     """Write ``path``/blocks and ``path``/code: ids of every text, in ascending doc_id order.
 
-    ``remembered`` bounds the pieces of text whose ids a worker keeps, about 170 bytes each.
+    ``remembered`` bounds the pieces of text whose ids a worker keeps, about 170 bytes each, and
+    ``batch_bytes`` the text that it encodes at a time, about 25 bytes for each.
 
     A null doc_id comes first. Documents that share a doc_id stand side by side, by the checksum
     of their ids. A null text has the end id alone. No documents give files without blocks.
@@ -232,7 +233,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     spark = docs.sparkSession
     bound_batches(spark)
     work = scratch_path(spark, "token-ids")
-    encode_documents(docs, tokenizer, end, remembered).write.option("compression", "zstd").parquet(work)
+    encode_documents(docs, tokenizer, end, remembered, batch_bytes).write.option("compression", "zstd").parquet(work)
     ids = spark.read.schema(IDS).parquet(work)
     dtype = encoder(tokenizer).dtype.str
     counts = id_counts(ids, dtype)
@@ -312,8 +313,9 @@ def huffman_cost(counts: dict[int, int]) -> int:
     return total
 
 
-def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, remembered: int = MEMORY) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, remembered: int = MEMORY,
+                batch_bytes: int = BATCH) -> DataFrame:
     """Write the files (below the session's shared folder if no path is given) and read them back."""
     path = path or scratch_path(docs.sparkSession, "token-files")
-    write_token_files(docs, path, tokenizer, remembered=remembered)
+    write_token_files(docs, path, tokenizer, remembered=remembered, batch_bytes=batch_bytes)
     return read_token_files(docs.sparkSession, path)
