@@ -89,7 +89,7 @@ def settle(size: np.ndarray, part: np.ndarray, draw: np.ndarray) -> tuple[np.nda
     return out, held
 
 
-def _rounded(level: int, last: bool):
+def _rounded(last: bool):
     """Settles each run of rows with equal (source, bucket) in a partition sorted by them."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +157,7 @@ def mix_sized(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
         dealt = (rows.withColumn("slot", F.xxhash64("source_no", "bucket", F.lit(level)))
                  .repartition("slot").sortWithinPartitions("slot", F.desc("size"), "draw", "doc_id"))
         schema = dealt.schema
-        settled = dealt.mapInPandas(_rounded(level, last), schema).drop("slot")
+        settled = dealt.mapInPandas(_rounded(last), schema).drop("slot")
         settled = materialize(settled, f"mix-level-{level}")
         done.append(settled.filter("not open"))
         if last:

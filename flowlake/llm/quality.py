@@ -36,8 +36,7 @@ LEAST_GROUP = 50              # smaller groups are judged by their language, or
 # Least deviation of each transformed statistic: what differs by less is the same.
 FLOOR = (0.05, 0.10, 0.12, 0.12)
 P = len(FLOOR)
-STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
+STAT_NAMES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
 def repeated_words(words: list[list[bytes]], k: int = WINDOW) -> list[int]:
@@ -67,7 +66,7 @@ def repeated_words(words: list[list[bytes]], k: int = WINDOW) -> list[int]:
 
 
 def text_stats(texts: list[str | None]) -> list[np.ndarray]:
-    """The columns of ``STATS`` for some texts; a null text is empty."""
+    """The columns of ``STAT_NAMES`` for some texts; a null text is empty."""
     raw = [(t or "").encode() for t in texts]
     words = [b.split() for b in raw]
     out = np.zeros((len(STAT_NAMES), len(raw)), np.int64)
@@ -81,11 +80,11 @@ def text_stats(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``, and ``stats``, a struct of ``STATS``. One pass, no shuffle."""
+    """All rows and columns of ``docs``, and ``stats``, a struct of ``STAT_NAMES``. One pass, no shuffle."""
     bound_batches(docs.sparkSession)
     own = [c for c in docs.columns if c != "stats"]
     df = docs.select(*[f"`{c}`" for c in own]).withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(STATS.replace("n_", "_q_n_").replace("word_chars", "_q_word_chars")).fields])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(f"_q_{n}", T.LongType()) for n in STAT_NAMES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
