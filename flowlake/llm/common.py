@@ -20,17 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\x0b\x0c\r"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 PART_BYTES = 2 << 20          # text that one Python call handles at a time
 BROADCAST_ROWS = 1 << 20      # keys that may be broadcast, after they were counted
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 8 MB, however long the texts are; Python workers find this library.
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Arrow batches end at ``size`` bytes, however long the texts are; Python workers find this library.
 
     Workers that share no files with the driver get it by ``--py-files``.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
@@ -44,6 +44,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def give_back() -> None:
     """Return what a Python worker no longer holds to the system; workers are kept between tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

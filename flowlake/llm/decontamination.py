@@ -19,7 +19,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import bound_batches, mix64, pieces
+from flowlake.llm.common import bound_batches, give_back, mix64, pieces
+from flowlake.llm.encode import forget
 
 Q = 12
 EDITS = 0.05                  # edits a character of an item
@@ -205,10 +206,12 @@ def _search(held: Broadcast):
 
 def _clean(held: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in pieces(batch):
                 clean = [not t or not held.value.search(points(t)) for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array(clean, pa.bool_()))
+        give_back()
     return run
 
 

@@ -24,7 +24,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, batch_byte
     long texts at blanks between other characters, where no token can reach across. A null text
     counts as empty: 0 bytes and tokens. Repeated rows are counted each. Other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, batch_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokenizer)

@@ -48,7 +48,7 @@ def _names(schema: str) -> list[str]:
 
 def encode_documents(docs: DataFrame, tokenizer: str, end: int = END, remembered: int = MEMORY, batch_bytes: int = BATCH) -> DataFrame:
     """(doc_id, n_tokens, ids): little-endian ids of each text and the end id. Null is empty."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, batch_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, remembered)
