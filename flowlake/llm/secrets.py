@@ -24,7 +24,7 @@ KINDS = (
          r"(?i)password|passwd|secret|token|api_?key"),
     Kind("access", "AKIA[A-Z0-9]{14,}+", "AKIA"),
     Kind("hex", "[0-9a-f]{16,}+", "[0-9a-f]{16}"),
-    Kind("random", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}", r"[A-Za-z0-9+/_-]{20}", base=False),
+    Kind("random", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?", r"[A-Za-z0-9+/_-]{20}", base=False),
 )
 NAMES = [k.name for k in KINDS]
 BASE = [k.name for k in KINDS if k.base]

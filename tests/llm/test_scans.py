@@ -115,6 +115,21 @@ def test_random_strings_and_long_words(spark):
     assert sum(got[i] for i in range(60, len(texts))) <= 2
 
 
+def test_random_strings_behind_a_name(spark):
+    """A value behind '=' is tested whether its name is short, long, in a URL or followed by quotes."""
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    forms = ["SIGNATURE={}", "AWS_SECRET_ACCESS_KEY={}", "get https://example.org/x?sig={}&n=1", "SIGNATURE=\"{}\"", "SIGNATURE = '{}'", "x={}==", "a=b={};"]
+    texts, where = {}, {}
+    for i in range(20 * len(forms)):
+        form, k = forms[i % len(forms)], key()
+        texts[i] = form.format(k)
+        where[i] = f"random:{form.index('{}')}:{form.index('{}') + len(k) + 2 * form.endswith('==')}"
+    got = {r.doc_id: r.spans for r in secrets(table(spark, list(texts.items()))).collect()}
+    for j in range(len(forms)):
+        assert sum(where[i] in got[i].split(",") for i in range(j, len(texts), len(forms))) >= 18, forms[j]
+
+
 def test_account_numbers_and_context(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "IBAN DE88370400440532013000"), (3, "social security 078-05-1120."), (4, "part 078-05-1120.")]
     got = {r.doc_id: r for r in personal_data(table(spark, rows)).collect()}
