@@ -8,6 +8,10 @@ Short strings pass too easily, so two more tests ask whether the string is unlik
 fewer repeated symbols than text of that length has, and more changes between small letters,
 capitals and digits. Their p-values are combined (Fisher), and within each band of lengths the
 Benjamini-Hochberg step keeps the share of false discoveries below ``FALSE``.
+
+Candidates of more than ``LONG`` symbols are tested in overlapping blocks that cover all of them,
+and only the parts that random blocks cover are reported: a header or padding does not hide what
+follows it, nor is it reported with it. The battery's bound is shared between the blocks.
 """
 
 from __future__ import annotations
@@ -39,7 +43,8 @@ TEXT_COINCIDENCE = 0.065      # that two letters of a text are the same
 TEXT_CHANGE = 0.05            # that neighbours in a text are of different classes
 RANDOM = 0.001                # the battery rejects randomness below this
 FALSE = 0.01                  # share of false discoveries
-LONG = 512                    # symbols of a candidate that the tests read; longer ones repeat them
+LONG = 512                    # longer candidates are tested in blocks of so many symbols
+STEP = LONG // 2              # from block to block
 BINS = 400                    # of a p-value's logarithm, 20 a decade
 
 
@@ -52,10 +57,28 @@ def _two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * _normal(-F.abs(z)))
 
 
+def _blocks(found: DataFrame) -> DataFrame:
+    """Rows (row, doc_id, kind, whole, blocks, body, start, stop): the blocks that cover each candidate.
+
+    One of at most ``LONG`` symbols is one block. Others have a block every ``STEP`` symbols and one
+    that ends where they end; ``whole`` is the candidate's start. Each row takes time for its own
+    symbols only, as they are cut from bytes.
+    """
+    body = F.regexp_replace(F.regexp_replace("match", "=+$", ""), "[_-]", "+")
+    n = F.length("body")
+    last = F.greatest(n - LONG, F.lit(0))
+    at = F.transform(F.sequence(F.lit(0), F.ceil(last / STEP).cast("int")), lambda i: F.least(i * STEP, last))
+    cut = F.transform(at, lambda a: F.struct(a.alias("at"), F.substring(F.col("body").cast("binary"), a + 1, F.lit(LONG)).cast("string").alias("body")))
+    df = found.select("row", "doc_id", "kind", F.col("start").alias("whole"), F.col("stop").alias("end"), body.alias("body"))
+    df = df.select("row", "doc_id", "kind", "whole", "end", (n - LONG).alias("over"), F.size(at).alias("blocks"), F.explode(cut).alias("b"))
+    start = F.col("whole") + F.col("b.at")
+    return df.select("row", "doc_id", "kind", "whole", "blocks", F.col("b.body").alias("body"), start.alias("start"),
+                     F.when(F.col("b.at") >= F.col("over"), F.col("end")).otherwise(start + LONG).alias("stop"))
+
+
 def _tested(found: DataFrame) -> DataFrame:
-    """Candidates with ``p_random``, their p-value as random strings, and ``p_text``, as text."""
-    body = F.substring(F.regexp_replace(F.regexp_replace("match", "=+$", ""), "[_-]", "+"), 1, LONG)
-    df = found.withColumn("body", body).withColumn(
+    """Blocks of candidates with ``p_random``, their p-value as random strings, and ``p_text``, as text."""
+    df = _blocks(found).withColumn(
         "encoding", F.when(F.col("body").rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(F.col("body").rlike("^[A-Z2-7]+$"), "base32")
         .when(F.col("body").rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64"))
     alphabet = F.lit("")
@@ -94,7 +117,7 @@ def _tested(found: DataFrame) -> DataFrame:
 
 
 def random_strings(found: DataFrame) -> DataFrame:
-    """(row, start, p_random, p_text, random) of the candidates among ``found``."""
+    """(row, doc_id, kind, whole, start, stop, p_random, p_text, random) of the blocks of candidates among ``found``."""
     band = (F.when(F.col("n") < 24, 0).when(F.col("n") < 32, 1).when(F.col("n") < 48, 2).otherwise(3))
     tested = (_tested(found.filter(F.col("kind") == NAMES.index("random"))).withColumn("band", band)
               .withColumn("bin", F.least(F.floor(-F.log10("p_text") * 20), F.lit(BINS)).cast("int")))
@@ -105,23 +128,33 @@ def random_strings(found: DataFrame) -> DataFrame:
             .filter(F.pow(F.lit(10.0), -F.col("bin") / 20) * F.col("all") <= F.lit(FALSE) * F.col("at_least"))
             .groupBy("band").agg(F.min("bin").alias("cut")))
     judged = tested.join(F.broadcast(cuts), "band", "left")
-    random = (F.col("bin") >= F.col("cut")) & (F.col("p_random") >= RANDOM)
-    return judged.select("row", "start", "p_random", "p_text", F.coalesce(random, F.lit(False)).alias("random"))
+    # All blocks of a random candidate pass together as often as the one of a short candidate.
+    random = (F.col("bin") >= F.col("cut")) & (F.col("p_random") * F.col("blocks") >= RANDOM)
+    return judged.select("row", "doc_id", "kind", "whole", "start", "stop", "p_random", "p_text", F.coalesce(random, F.lit(False)).alias("random"))
+
+
+def random_spans(found: DataFrame) -> DataFrame:
+    """(row, doc_id, kind, start, stop) of random blocks; those of a candidate that meet are one span."""
+    order = Window.partitionBy("row", "whole").orderBy("start", "stop")
+    blocks = (random_strings(found).filter("random")
+              .withColumn("before", F.lag("stop").over(order)))
+    part = F.count_if(F.col("before").isNull() | (F.col("before") < F.col("start"))).over(order)
+    return (blocks.withColumn("part", part).groupBy("row", "whole", "part")
+            .agg(F.first("doc_id").alias("doc_id"), F.first("kind").alias("kind"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+            .select("row", "doc_id", "kind", "start", "stop"))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Base kinds: named assignments of 12 or more signs, access keys of 18 or more, hexadecimal runs
-    of 16 or more. Added, kind ``random``: candidates that pass the battery and the false-discovery
-    step. Spans are kind:start:stop in code points, by start, then kind. A null or empty text has
+    of 16 or more. Added, kind ``random``: candidates, or parts of long ones, that pass the battery
+    and the false-discovery step. Spans are kind:start:stop in code points, by start, then kind. A null or empty text has
     no span. Repeated rows are reported each. Other columns are ignored.
     """
     found = materialize(find(docs, KINDS), "secret-candidates")
     value = F.regexp_extract("match", r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", 1)
     base = found.withColumn("kind", F.when((F.col("kind") == 0) & (F.length(value) < 12), None)
                             .when(F.col("kind") < len(BASE), F.col("kind")))
-    added = (random_strings(found).filter("random")
-             .join(found.filter(F.col("kind") == NAMES.index("random")), ["row", "start"]).select(*found.columns))
-    return report(base.unionByName(added), NAMES, BASE, ("start", "kind"),
+    return report(base.unionByName(random_spans(found), allowMissingColumns=True), NAMES, BASE, ("start", "kind"),
                   [F.count_if(F.col("kind") == NAMES.index("random")).alias("random")]).withColumnRenamed("random", "found_random")

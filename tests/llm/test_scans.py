@@ -130,6 +130,26 @@ def test_random_strings_behind_a_name(spark):
         assert sum(where[i] in got[i].split(",") for i in range(j, len(texts), len(forms))) >= 18, forms[j]
 
 
+def test_long_candidates_are_read_to_their_end(spark):
+    rng = random.Random(13)
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    texts = {}
+    for i in range(20):
+        texts[i] = "A" * 700 + key(2000)
+        texts[100 + i] = key(700) + "path/to/" * 250
+        texts[200 + i] = key(5000)
+        texts[300 + i] = "path/to/" * 300
+        texts[400 + i] = "A" * (900 + 16 * i) + key(800) + "path/to/" * 100
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")]
+           for r in secrets(table(spark, list(texts.items()))).collect()}
+    near = lambda i, a, b: len(got[i]) == 1 and abs(got[i][0][0] - a) < 512 and abs(got[i][0][1] - b) < 512
+    assert sum(near(i, 700, 2700) and got[i][0][1] == 2700 for i in range(20)) >= 18
+    assert sum(near(100 + i, 0, 700) and got[100 + i][0][0] == 0 for i in range(20)) >= 18
+    assert sum(got[200 + i] == [(0, 5000)] for i in range(20)) >= 18
+    assert not any(got[300 + i] for i in range(20))
+    assert sum(near(400 + i, 900 + 16 * i, 1700 + 16 * i) for i in range(20)) >= 18
+
+
 def test_account_numbers_and_context(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "IBAN DE88370400440532013000"), (3, "social security 078-05-1120."), (4, "part 078-05-1120.")]
     got = {r.doc_id: r for r in personal_data(table(spark, rows)).collect()}
