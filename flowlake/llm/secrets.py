@@ -1,7 +1,8 @@
 """Secrets: named patterns, and strings that pass for random (operator 5). SQL functions only.
 
-A candidate is a run of 20 or more letters, digits and base-64 signs. Its encoding is inferred:
-hexadecimal, base 32, letters and digits, or base 64. Three tests ask whether it may be random
+A candidate is a run of 20 or more letters, digits and base-64 signs. Its encoding is inferred, the
+smallest that holds it: hexadecimal, letters, base 32 or base 36 of either case, letters and digits
+of both cases, or base 64. Three tests ask whether it may be random
 in that encoding: a chi-squared test of uniform symbols, a runs test about the middle of the
 alphabet, and the correlation of neighbours. Random strings pass; ordinary long words fail.
 Short strings pass too easily, so two more tests ask whether the string is unlike ordinary text:
@@ -32,12 +33,21 @@ KINDS = (
 )
 NAMES = [k.name for k in KINDS]
 BASE = [k.name for k in KINDS if k.base]
-# Alphabets by encoding, each in the order of its symbols' worth.
+# Alphabets by encoding, each in the order of its symbols' worth. Smaller ones come
+# first, as the first one that holds a string counts.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "hex": DIGITS + LOWER[:6],
+    "hex_upper": DIGITS + UPPER[:6],
+    "lower": LOWER,
+    "upper": UPPER,
+    "base32_lower": LOWER + "234567",
+    "base32": UPPER + "234567",
+    "base36_lower": DIGITS + LOWER,
+    "base36": DIGITS + UPPER,
+    "letters": UPPER + LOWER,
+    "alnum": DIGITS + UPPER + LOWER,
+    "base64": UPPER + LOWER + DIGITS + "+/",
 }
 TEXT_COINCIDENCE = 0.065      # that two letters of a text are the same
 TEXT_CHANGE = 0.05            # that neighbours in a text are of different classes
@@ -64,11 +74,13 @@ def _blocks(found: DataFrame) -> DataFrame:
     that ends where they end; ``whole`` is the candidate's start. Each row takes time for its own
     symbols only, as they are cut from bytes.
     """
-    body = F.regexp_replace(F.regexp_replace("match", "=+$", ""), "[_-]", "+")
+    body = F.translate(F.regexp_replace("match", "=+$", ""), "-_", "+/")
     n = F.length("body")
     last = F.greatest(n - LONG, F.lit(0))
     at = F.transform(F.sequence(F.lit(0), F.ceil(last / STEP).cast("int")), lambda i: F.least(i * STEP, last))
-    cut = F.transform(at, lambda a: F.struct(a.alias("at"), F.substring(F.col("body").cast("binary"), a + 1, F.lit(LONG)).cast("string").alias("body")))
+    # One array of bytes a candidate, which all its blocks are cut from.
+    cut = F.flatten(F.transform(F.array(F.col("body").cast("binary")), lambda held: F.transform(
+        at, lambda a: F.struct(a.alias("at"), F.substring(held, a + 1, F.lit(LONG)).cast("string").alias("body")))))
     df = found.select("row", "doc_id", "kind", F.col("start").alias("whole"), F.col("stop").alias("end"), body.alias("body"))
     df = df.select("row", "doc_id", "kind", "whole", "end", (n - LONG).alias("over"), F.size(at).alias("blocks"), F.explode(cut).alias("b"))
     start = F.col("whole") + F.col("b.at")
@@ -78,14 +90,8 @@ def _blocks(found: DataFrame) -> DataFrame:
 
 def _tested(found: DataFrame) -> DataFrame:
     """Blocks of candidates with ``p_random``, their p-value as random strings, and ``p_text``, as text."""
-    df = _blocks(found).withColumn(
-        "encoding", F.when(F.col("body").rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(F.col("body").rlike("^[A-Z2-7]+$"), "base32")
-        .when(F.col("body").rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64"))
-    alphabet = F.lit("")
-    for name, signs in ALPHABETS.items():
-        alphabet = F.when(F.col("encoding") == name, signs).otherwise(alphabet)
-    chars = F.split(F.when(F.col("encoding") == "hex", F.lower("body")).otherwise(F.col("body")), "")
-    df = df.withColumn("alphabet", alphabet).withColumn("chars", chars)
+    alphabet = F.coalesce(*[F.when(F.col("body").rlike(f"^[{signs}]+$"), signs) for signs in ALPHABETS.values()])
+    df = _blocks(found).withColumn("alphabet", alphabet).withColumn("chars", F.split("body", ""))
     df = df.withColumn("x", F.transform("chars", lambda c: (F.position(c, F.col("alphabet")) - 1).cast("double")))
     kind_of = lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)

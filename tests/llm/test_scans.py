@@ -150,6 +150,21 @@ def test_long_candidates_are_read_to_their_end(spark):
     assert sum(near(400 + i, 900 + 16 * i, 1700 + 16 * i) for i in range(20)) >= 18
 
 
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def test_detection_by_alphabet_and_length(spark):
+    """Base 32 and 36 of either case, letters and digits of both, and both ways to write base 64."""
+    rng = random.Random(14)
+    both = LOWER + LOWER.upper() + DIGITS
+    alphabets = [LOWER + "234567", LOWER.upper() + "234567", LOWER + DIGITS, LOWER.upper() + DIGITS, both, both + "+/", both + "-_"]
+    cases = [(a, n) for a in alphabets for n in (40, 64, 128, 512)]
+    texts = {40 * j + i: f"see {''.join(rng.choices(a, k=n))} there" for j, (a, n) in enumerate(cases) for i in range(40)}
+    got = {r.doc_id: r.found_random for r in secrets(table(spark, list(texts.items()))).collect()}
+    for j, case in enumerate(cases):
+        assert sum(got[40 * j + i] == 1 for i in range(40)) >= 37, case
+
+
 def test_account_numbers_and_context(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "IBAN DE88370400440532013000"), (3, "social security 078-05-1120."), (4, "part 078-05-1120.")]
     got = {r.doc_id: r for r in personal_data(table(spark, rows)).collect()}
