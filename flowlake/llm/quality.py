@@ -3,9 +3,10 @@
 Fixed rules reject documents with few words or much repetition. The rest is judged by how far
 its statistics lie from those of its language and source: mean word length, symbols a word,
 repeated lines and repeated words, each transformed to be roughly normal. Centre and covariance
-are minimum-covariance-determinant estimates: start from medians and quartile ranges, then
-repeat concentration steps, each of which keeps the three quarters of the documents that lie
-nearest and estimates anew from them. Each step is a pass of group sums and quantile sketches
+are minimum-covariance-determinant estimates: start from medians and median deviations, then
+repeat concentration steps, each of which keeps the half of the documents that lie nearest and
+estimates anew from them, and at last estimate once from all that lie near. Junk may be just
+under half of a group. Each step is a pass of group sums and quantile sketches
 over a narrow table of all documents, so a source may hold any share of them.
 """
 
@@ -29,7 +30,8 @@ SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 10
 REPEATED = 0.2
 WINDOW = 5
-KEPT = 0.75                   # share of a group that a concentration step keeps
+KEPT = 0.5                    # share of a group that a concentration step keeps
+NEAR = 0.025                  # tail beyond which the last estimate leaves documents out
 STEPS = 4
 TAIL = 1e-8                   # of the chi-squared distribution beyond which a document is rejected
 LEAST_GROUP = 50              # smaller groups are judged by their language, or by all documents
@@ -147,14 +149,17 @@ def consistency(share: float, p: int = P) -> float:
 
 def _inverse(factor: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor = np.diag(np.square(FLOOR))
+        floor = np.array(FLOOR)
+        scale = np.outer(floor, floor)
         for b in batches:
             if not len(b):
                 continue
             n = b["n"].to_numpy()[:, None]
             s1, s2 = np.stack(b["s1"].to_numpy()) / n, np.stack(b["s2"].to_numpy()).reshape(-1, P * P) / n
             cov = s2.reshape(-1, P, P) - s1[:, :, None] * s1[:, None, :]
-            inverse = np.linalg.inv(cov * factor + floor)
+            # In units of the floor no direction varies by less than 1.
+            spread, axes = np.linalg.eigh(cov * factor / scale)
+            inverse = (axes / np.maximum(spread, 1.0)[:, None, :]) @ axes.transpose(0, 2, 1) / scale
             yield pd.DataFrame({"key": b["key"], "mean": list(s1), "inverse": list(inverse.reshape(-1, P * P))})
     return run
 
@@ -164,24 +169,30 @@ def fit(stats: DataFrame, share: float = KEPT, steps: int = STEPS) -> DataFrame:
     bound_batches(stats.sparkSession)
     rows = stats.select("x", F.explode("keys").alias("key"))
     sized = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP)
-    quartiles = [F.percentile_approx(F.get("x", F.lit(i)), [0.25, 0.5, 0.75], 1000) for i in range(P)]
-    start = rows.groupBy("key").agg(F.array(*quartiles).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP)
-    sd = [F.greatest((F.get(F.get("q", F.lit(i)), F.lit(2)) - F.get(F.get("q", F.lit(i)), F.lit(0))) / 1.349, F.lit(FLOOR[i])) for i in range(P)]
-    zero = F.lit(0.0)
-    params = materialize(start.select(
-        "key", F.transform("q", lambda q: F.get(q, F.lit(1))).alias("mean"),
-        F.array(*[1 / (sd[i] * sd[i]) if i == j else zero for i in range(P) for j in range(P)]).alias("inverse")), "mcd")
     few = sized.count() <= BROADCAST_ROWS // 16
     held = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    medians = [F.percentile_approx(F.get("x", F.lit(i)), 0.5, 1000) for i in range(P)]
+    middle = materialize(rows.groupBy("key").agg(F.array(*medians).alias("mean"), F.count("*").alias("n"))
+                         .filter(F.col("n") >= LEAST_GROUP).drop("n"), "mcd-medians")
+    away = [F.percentile_approx(F.abs(F.get("x", F.lit(i)) - F.get("mean", F.lit(i))), 0.5, 1000) for i in range(P)]
+    start = rows.join(held(middle), "key").groupBy("key").agg(F.first("mean").alias("mean"), F.array(*away).alias("away"))
+    sd = [F.greatest(F.get("away", F.lit(i)) * 1.4826, F.lit(FLOOR[i])) for i in range(P)]
+    zero = F.lit(0.0)
+    params = materialize(start.select(
+        "key", "mean", F.array(*[1 / (sd[i] * sd[i]) if i == j else zero for i in range(P) for j in range(P)]).alias("inverse")), "mcd")
     s1 = F.array(*[F.sum(F.get("x", F.lit(i))) for i in range(P)])
     s2 = F.array(*[F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(j))) for i in range(P) for j in range(P)])
+
+    def estimate(chosen: DataFrame, kept: float) -> DataFrame:
+        sums = chosen.groupBy("key").agg(F.count("*").cast("double").alias("n"), s1.alias("s1"), s2.alias("s2"))
+        return materialize(sums.mapInPandas(_inverse(consistency(kept)), "key string, mean array<double>, inverse array<double>"), "mcd")
+
     for _ in range(steps):
         near = rows.join(held(params), "key").withColumn("d", distance(F.col("x")))
         cuts = near.groupBy("key").agg(F.percentile_approx("d", share, 1000).alias("cut"))
-        sums = (near.join(held(materialize(cuts, "mcd-cuts")), "key").filter("d <= cut")
-                .groupBy("key").agg(F.count("*").cast("double").alias("n"), s1.alias("s1"), s2.alias("s2")))
-        params = materialize(sums.mapInPandas(_inverse(consistency(share)), "key string, mean array<double>, inverse array<double>"), "mcd")
-    return params
+        params = estimate(near.join(held(materialize(cuts, "mcd-cuts")), "key").filter("d <= cut"), share)
+    near = rows.join(held(params), "key").filter(distance(F.col("x")) <= chi2_quantile(NEAR))
+    return estimate(near, 1 - NEAR)
 
 
 def _judged(df: DataFrame, params: DataFrame, tail: float) -> DataFrame:

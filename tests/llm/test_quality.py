@@ -85,6 +85,16 @@ def test_junk_in_a_source_does_not_move_its_estimate(spark):
     assert {r.doc_id for r in stage.collect()} == kept
 
 
+@pytest.mark.parametrize("junk", [26, 30, 40])
+def test_much_junk_in_a_source_is_rejected(spark, junk):
+    rng = random.Random(junk)
+    prose = lambda: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(120))
+    good = {i: prose() for i in range(500 - 5 * junk)}
+    bad = {1000 + i: prose().replace(" ", rng.choice(["%%% ", "##$ ", "&& "])) for i in range(5 * junk)}
+    got = {r.doc_id for r in quality(table(spark, [(d, t, "en", "s0") for d, t in {**good, **bad}.items()])).filter("kept").collect()}
+    assert got == set(good)
+
+
 def test_estimate_against_numpy(spark):
     """A fifth of the rows lie far away; centre and spread are those of the rest."""
     rng = np.random.RandomState(0)
