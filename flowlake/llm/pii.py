@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.spans import Kind, find, report
+from flowlake.llm.spans import NEAR, Kind, find, report
 
 # Patterns. Runs start where a run of their characters starts (or a match ended).
 KINDS = (
@@ -16,7 +16,9 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])", r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", base=False),
+    # The first word, and ahead of it the words that may belong to it and what is near them.
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{0,30}+(?![A-Za-z0-9])(?=((?:\x20[A-Z0-9]{1,30}+(?![A-Za-z0-9])){0,30}+(?s:.{0,40}+)))",
+         r"[A-Z]{2}[0-9]{2}", base=False, ahead=True),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", base=False),
 )
 NAMES = [k.name for k in KINDS]
@@ -54,6 +56,27 @@ def mod97(iban: Column) -> Column:
         c.rlike("^[0-9]$"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
+def account_number(text: Column) -> Column:
+    """The longest part that ``text`` begins with, of whole words and 15 to 34 signs, that passes mod-97; else null."""
+    words = F.split(F.regexp_extract(text, r"^[A-Z0-9]++(?:\x20[A-Z0-9]++(?![A-Za-z0-9]))*+", 0), " ")
+    parts = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    good = F.filter(parts, lambda p: F.when(F.length(F.replace(p, F.lit(" "), F.lit(""))).between(15, 34), mod97(p) == 1).otherwise(False))
+    return F.get(good, F.size(good) - 1)
+
+
+def _with_account_numbers(found: DataFrame) -> DataFrame:
+    """``found`` with whole account numbers for their first words; what begins none has a null kind."""
+    iban = F.col("kind") == NAMES.index("iban")
+    whole = F.concat("match", "ahead")
+    df = found.withColumn("number", F.when(iban, account_number(whole)))
+    good = F.col("number").isNotNull()
+    size = F.length("number")
+    return (df.withColumn("kind", F.when(good | ~iban, F.col("kind")))
+            .withColumn("after", F.when(good, F.substring(whole, size + 1, F.lit(NEAR))).otherwise(F.col("after")))
+            .withColumn("stop", F.when(good, F.col("start") + size).otherwise(F.col("stop")))
+            .withColumn("match", F.coalesce("number", "match")).drop("number"))
+
+
 def _checked() -> Column:
     """Whether a proposal passes its kind's own check; null where a kind has none."""
     match, kind = F.col("match"), F.col("kind")
@@ -63,15 +86,16 @@ def _checked() -> Column:
     return (F.when(kind == NAMES.index("ip"), match.rlike(rf"^{small}(?:\.{small}){{3}}$"))
             .when(kind == NAMES.index("card"), luhn(digits(match)))
             .when(kind == NAMES.index("phone"), n.between(8, 15))
-            .when(kind == NAMES.index("iban"), mod97(match) == 1))
+            .when(kind == NAMES.index("iban"), F.lit(True)))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, top_score.
 
     Base kinds: e-mail addresses, addresses of four parts up to 255, cards of 16 to 19 digits that
-    pass Luhn, phone numbers of 8 to 15 digits. Added: account numbers that pass mod-97 and
-    social security numbers that have a word for them nearby. Spans are kind:start:stop in code
+    pass Luhn, phone numbers of 8 to 15 digits. Added: account numbers, the longest run of words
+    from their first one that passes mod-97, and social security numbers that have a word for them
+    nearby. Spans are kind:start:stop in code
     points, by kind, then start. A null or empty text has no span; top_score is then null. Repeated
     rows are reported each. Other columns are ignored.
     """
@@ -80,7 +104,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     checked = _checked()
     score = (F.lit(PROPOSED) + F.when(checked, CHECKED).otherwise(0.0)
              + F.when(F.rlike(near, F.get(words, F.col("kind"))), NEARBY).otherwise(0.0))
-    found = find(docs, KINDS).withColumn("score", F.when(F.col("kind").isNotNull(), score))
+    found = _with_account_numbers(find(docs, KINDS)).withColumn("score", F.when(F.col("kind").isNotNull(), score))
     stays = F.coalesce(checked, F.lit(True)) & ((F.col("kind") < len(BASE)) | (F.col("score") >= KEEP))
     # What fails keeps its row with a null kind, for its document's sake.
     found = found.withColumn("_stays", stays)

@@ -21,25 +21,31 @@ NEAR = 40                     # characters on each side that a span keeps as its
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern; ``hint`` must be in a text for it to be searched at all (a cheaper pattern)."""
+    """A pattern; ``hint`` must be in a text for it to be searched at all (a cheaper pattern).
+
+    With ``ahead``, group 1 of the pattern is text behind the match that other matches may share.
+    """
 
     name: str
     pattern: str
     hint: str
     base: bool = True
+    ahead: bool = False
 
 
-def _spans(i: int) -> Column:
-    """Matches of kind ``i`` with the gap before each, from the columns m and g of that number."""
+def _spans(i: int, ahead: bool) -> Column:
+    """Matches of kind ``i`` with the gap before each, from the columns m, g and a of that number."""
     gaps = F.col(f"g{i}")
+    behind = (lambda at: F.get(F.col(f"a{i}"), at)) if ahead else (lambda at: F.lit(None).cast("string"))
     return F.transform(F.col(f"m{i}"), lambda m, at: F.struct(
         F.lit(i).alias("kind"), at.alias("at"), m.alias("match"), F.length(F.get(gaps, at)).alias("gap"),
-        F.right(F.get(gaps, at), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, at + 1), F.lit(NEAR)).alias("after")))
+        F.right(F.get(gaps, at), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, at + 1), F.lit(NEAR)).alias("after"),
+        behind(at).alias("ahead")))
 
 
 def find(docs: DataFrame, kinds: Sequence[Kind]) -> DataFrame:
-    """One row (row, doc_id, kind, match, start, stop, before, after) a match, and a row with null
-    kind for each document, so that none is lost. Starts count from 0, stops are exclusive."""
+    """One row (row, doc_id, kind, match, start, stop, before, after, ahead) a match, and a row with
+    null kind for each document, so that none is lost. Starts count from 0, stops are exclusive."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     empty = F.array().cast("array<string>")
@@ -48,13 +54,15 @@ def find(docs: DataFrame, kinds: Sequence[Kind]) -> DataFrame:
         df = (df.withColumn(f"m{i}", F.when(there, F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))).otherwise(empty)))
     for i, k in enumerate(kinds):
         df = df.withColumn(f"g{i}", F.when(F.size(f"m{i}") > 0, F.split("text", k.pattern, -1)).otherwise(empty))
-    parts = [_spans(i) for i in range(len(kinds))]
+        if k.ahead:
+            df = df.withColumn(f"a{i}", F.when(F.size(f"m{i}") > 0, F.regexp_extract_all("text", F.lit(k.pattern), F.lit(1))).otherwise(empty))
+    parts = [_spans(i, k.ahead) for i, k in enumerate(kinds)]
     rows = df.select("row", "doc_id", F.explode_outer(F.concat(*parts)).alias("s")).select("row", "doc_id", "s.*")
     stop = F.sum(F.col("gap") + F.length("match")).over(
         Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # Every kind of a row in one place, so that the later grouping by row needs no second shuffle.
     return (rows.repartition("row").withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("match"))
-            .select("row", "doc_id", "kind", "match", "start", "stop", "before", "after"))
+            .select("row", "doc_id", "kind", "match", "start", "stop", "before", "after", "ahead"))
 
 
 def joined(spans: Column, names: Sequence[str]) -> Column:

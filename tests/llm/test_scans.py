@@ -173,6 +173,19 @@ def test_account_numbers_and_context(spark):
     assert got[3].spans == "ssn:16:27"
 
 
+def test_account_numbers_before_capitals_and_digits(spark):
+    number, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    british = "GB82 WEST 1234 5698 7654 32"
+    texts = {1: (f"{number} Please pay", [number]), 2: (f"{number} BIC COBADEFFXXX", [number]), 3: (f"{spaced} 2024", [spaced]),
+             4: (f"é IBAN {spaced} {british} {number} AB", [spaced, british, number]), 5: (f"ROOM AB12 {spaced} Thanks", [spaced]),
+             6: (f"{number}X {number}x", []), 7: ("AB12 " * 20_000, []), 8: (f"{spaced}\n{british}.", [spaced, british]),
+             9: (f"{number} " * 5_000, [number] * 5_000)}
+    got = {r.doc_id: r.spans for r in personal_data(table(spark, [(i, t) for i, (t, _) in texts.items()])).collect()}
+    for i, (text, want) in texts.items():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("iban:")]
+        assert [text[a:b] for a, b in spans] == want, (i, spans[:5])
+
+
 def test_checksums(spark):
     rows = [("4111111111111111", "GB82 WEST 1234 5698 7654 32"), ("4111111111111112", "GB83WEST12345698765432")]
     got = spark.createDataFrame(rows, "a string, b string").select(luhn(F.col("a")), mod97(F.col("b")) == 1).collect()
