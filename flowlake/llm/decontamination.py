@@ -5,6 +5,9 @@ q-grams with it, and all of them lie on diagonals (place in the text less place
 differ by k at most. So shared q-grams are counted in diagonal bands 2 (k + 1) wide that overlap
 by half; a band with fewer cannot hold a passage. What is left is aligned within the band.
 
+The same is done for overlapping windows of each item, so that a part of an item is found as well;
+windows that continue each other in item and text are one passage.
+
 Texts are compared in code points, with A-Z as a-z and every white-space byte as a blank.
 """
 
@@ -24,6 +27,8 @@ from flowlake.llm.encode import forget
 
 Q = 12
 EDITS = 0.05                  # edits a character of an item
+WINDOW = 50                   # characters of a part of an item that is searched by itself
+STEP = 10                     # from window to window; an item's last one ends where it ends
 BENCHMARK_CHARS = 8 << 20     # characters of items that one pass holds
 FILTER_BITS = 22
 FOUND = "doc_id long, item_id long, start long, stop long, edits long"
@@ -70,6 +75,8 @@ class Benchmark:
     filter: np.ndarray
     q: int
     longest: int
+    part_edits: int
+    begin: np.ndarray
 
     @staticmethod
     def of(rows: list[tuple[int, str]], q: int = Q, rate: float = EDITS) -> Benchmark:
@@ -78,6 +85,7 @@ class Benchmark:
         m = np.array([len(c) for _, c in rows], np.int64)
         # The most edits that still leave a q-gram.
         edits = np.minimum((m * rate).astype(np.int64), (m - q) // q)
+        part_edits = min(int(WINDOW * rate), (WINDOW - q) // q)
         hashes = [grams(c, q) for _, c in rows]
         h = np.concatenate([np.empty(0, np.uint64), *hashes])
         item = np.repeat(np.arange(len(rows)), [len(x) for x in hashes])
@@ -87,11 +95,12 @@ class Benchmark:
         there = np.zeros(1 << FILTER_BITS, bool)
         there[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         return Benchmark([i for i, _ in rows], [c for _, c in rows], edits, m - q + 1 - edits * q,
-                         keys, np.append(first, len(h)), item[order], offset[order], there, q, int(m.max(initial=0)))
+                         keys, np.append(first, len(h)), item[order], offset[order], there, q, int(m.max(initial=0)),
+                         part_edits, np.append(0, np.cumsum(m)))
 
     def search(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, start, stop, edits) of passages in a text's code points, best first, none that overlap
-        for the same item."""
+        """(item, start, stop, edits) of passages in a text's code points, whole items first, none that
+        overlap for the same item."""
         h = grams(c, self.q)
         at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]) if len(self.keys) else np.empty(0, np.int64)
         if not len(at):
@@ -104,7 +113,8 @@ class Benchmark:
             return []
         inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         place = np.repeat(self.first[slot], n) + inner
-        item, diagonal = self.item[place], np.repeat(at, n) - self.offset[place]
+        item, offset = self.item[place], self.offset[place]
+        diagonal = np.repeat(at, n) - offset
         band = (diagonal + self.longest) // (self.edits[item] + 1)
         key = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + band - 1])
         keys, counts = np.unique(key, return_counts=True)
@@ -118,11 +128,58 @@ class Benchmark:
             if hit:
                 found.append((i, *hit))
         found.sort(key=lambda f: (f[0], f[3], f[1], f[2]))
-        out: list[tuple[int, int, int, int]] = []
-        for f in found:
-            if not any(g[0] == f[0] and g[1] < f[2] and f[1] < g[2] for g in out):
-                out.append(f)
-        return out
+        return _apart(self._parts(c, item, offset, diagonal, _apart(found, [])), _apart(found, []))
+
+    def _parts(self, c: np.ndarray, item: np.ndarray, offset: np.ndarray, diagonal: np.ndarray,
+               whole: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(item, start, stop, edits) of parts of items, longest first, from the q-grams shared with a text."""
+        most, width, m = self.part_edits, self.part_edits + 1, np.diff(self.begin)[item]
+        starts = [(offset // STEP - j) * STEP for j in range((WINDOW - self.q) // STEP + 1)]
+        fits = [(s >= 0) & (offset - s <= WINDOW - self.q) & (s + WINDOW <= m) for s in starts]
+        starts.append(m - WINDOW)
+        fits.append((m >= WINDOW) & (offset >= m - WINDOW) & ((m - WINDOW) % STEP > 0))
+        band = (diagonal + self.longest) // width
+        key = np.concatenate([(self.begin[item[f]] + s[f]) * (1 << 32) + band[f] - k for s, f in zip(starts, fits) for k in (0, 1)])
+        keys, counts = np.unique(key, return_counts=True)
+        found = set()
+        for key in keys[counts >= WINDOW - self.q + 1 - most * self.q].tolist():
+            # Less by one may be band -1, which belongs to the same window.
+            at, band = (key + 1) >> 32, (key + 1) % (1 << 32) - 1
+            i = int(np.searchsorted(self.begin, at, "right")) - 1
+            a = at - int(self.begin[i])
+            low = band * width - self.longest + a
+            if any(w[0] == i and w[1] < low + WINDOW and low < w[2] for w in whole):
+                continue
+            hit = align(self.items[i][a:a + WINDOW], c, low, low + 2 * width - 1, most)
+            if hit:
+                found.add((i, hit[0], a, hit[1], hit[2]))
+        # Windows that continue each other, in the order of their places in the text.
+        chains: list[list[tuple[int, int, int, int, int]]] = []
+        for f in sorted(found):
+            for chain in chains[:-9:-1]:
+                last = chain[-1]
+                if last[0] == f[0] and f[1] <= last[3] and f[2] >= last[2] and abs(f[1] - f[2] - last[1] + last[2]) <= 2 * most:
+                    chain.append(f)
+                    break
+            else:
+                chains.append([f])
+        out = []
+        for chain in chains:
+            i, a, b, edits = chain[0][0], chain[0][2], chain[-1][2] + WINDOW, sum(f[4] for f in chain)
+            span = (chain[0][1], max(f[3] for f in chain), edits)
+            if edits:
+                begins = [f[1] - f[2] + a for f in chain]
+                span = align(self.items[i][a:b], c, min(begins), max(begins), edits) or span
+            out.append((i, *span))
+        return sorted(out, key=lambda f: (f[0], f[1] - f[2], f[3], f[1]))
+
+
+def _apart(found: list[tuple[int, int, int, int]], out: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """``out`` and those of ``found``, in their order, that overlap no passage of the same item before them."""
+    for f in found:
+        if not any(g[0] == f[0] and g[1] < f[2] and f[1] < g[2] for g in out):
+            out.append(f)
+    return out
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -178,9 +235,10 @@ def _slices(benchmark: DataFrame, chars: int = BENCHMARK_CHARS) -> list[list[tup
 def passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDITS) -> DataFrame:
     """(doc_id, item_id, start, stop, edits): every passage of an item in a document.
 
-    A passage is within ``rate`` edits a character of the whole item. Places are code points, stop
-    exclusive. Passages of one item in one document do not overlap; the one with fewest edits, then
-    the first, stays. Items shorter than ``q`` characters are not searched, nor are null texts.
+    A passage is within ``rate`` edits a character of the whole item, or of a part of it: a window of
+    ``WINDOW`` characters or several that continue each other. Places are code points, stop
+    exclusive. Passages of one item in one document do not overlap; whole items go before parts, of
+    whole ones the one with fewest edits, then the first, of parts the longest. Items shorter than ``q`` characters are not searched, nor are null texts.
     Equal items count once for each item_id. Repeated documents are reported each. Texts are
     scanned once for every 8 M characters of items; they are not shuffled.
     """

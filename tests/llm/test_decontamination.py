@@ -119,6 +119,29 @@ def test_odd_rows(spark):
     assert without_passages(docs, nothing).count() == len(rows)
 
 
+def test_parts_of_items(spark):
+    """Cut off at the end or the start, and a long passage out of the middle, with few edits or none."""
+    rng = random.Random(9)
+    item, short = prose(rng, 400), prose(rng, 25)
+    around = lambda text: f"{prose(rng, 30)} {text} {prose(rng, 30)}"
+    parts = {1: item[:int(len(item) * 0.9)], 2: item[300:], 3: item[500:900], 4: short[:int(len(short) * 0.9)], 5: item[777:840]}
+    docs = {i: around(p) for i, p in parts.items()}
+    docs[6] = around(edited(rng, item[400:1000], 12))
+    docs[7] = around(item[100:130])
+    docs[8] = around(item[100:400] + " " + prose(rng, 20) + " " + item[700:1000])
+    got = passages(table(spark, list(docs.items())), items(spark, [(1, item), (2, short)])).collect()
+    for i, p in parts.items():
+        spans = [(r.item_id, r.start, r.stop, r.edits) for r in got if r.doc_id == i]
+        assert len(spans) == 1 and spans[0][0] == (2 if i == 4 else 1), (i, spans)
+        begin = docs[i].index(p)
+        assert abs(spans[0][1] - begin) < 20 and abs(spans[0][2] - begin - len(p)) < 20, (i, spans, begin, len(p))
+    assert {r.item_id for r in got if r.doc_id == 6} == {1}
+    assert not [r for r in got if r.doc_id == 7]
+    assert len([r for r in got if r.doc_id == 8]) == 2
+    clean = without_passages(table(spark, list(docs.items())), items(spark, [(1, item), (2, short)])).collect()
+    assert [r.doc_id for r in clean] == [7]
+
+
 def test_slices_of_the_benchmark_find_the_same(spark, sf_dir, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     once = sorted(passages(docs, bench).collect())
