@@ -75,17 +75,22 @@ def _blocks(found: DataFrame) -> DataFrame:
     symbols only, as they are cut from bytes.
     """
     body = F.translate(F.regexp_replace("match", "=+$", ""), "-_", "+/")
-    n = F.length("body")
-    last = F.greatest(n - LONG, F.lit(0))
-    at = F.transform(F.sequence(F.lit(0), F.ceil(last / STEP).cast("int")), lambda i: F.least(i * STEP, last))
-    # One array of bytes a candidate, which all its blocks are cut from.
-    cut = F.flatten(F.transform(F.array(F.col("body").cast("binary")), lambda held: F.transform(
-        at, lambda a: F.struct(a.alias("at"), F.substring(held, a + 1, F.lit(LONG)).cast("string").alias("body")))))
-    df = found.select("row", "doc_id", "kind", F.col("start").alias("whole"), F.col("stop").alias("end"), body.alias("body"))
-    df = df.select("row", "doc_id", "kind", "whole", "end", (n - LONG).alias("over"), F.size(at).alias("blocks"), F.explode(cut).alias("b"))
-    start = F.col("whole") + F.col("b.at")
-    return df.select("row", "doc_id", "kind", "whole", "blocks", F.col("b.body").alias("body"), start.alias("start"),
-                     F.when(F.col("b.at") >= F.col("over"), F.col("end")).otherwise(start + LONG).alias("stop"))
+    # All that depends on the whole candidate is worked out once, in one element of one array: what
+    # stands above the explode refers to the exploded structs alone.
+    held = F.struct(body.cast("binary").alias("bytes"), F.col("start").alias("whole"), F.col("stop").alias("end"))
+    held = F.transform(F.array(held), lambda h: F.struct(h.alias("of"), F.greatest(F.octet_length(h["bytes"]) - LONG, F.lit(0)).alias("last")))
+    held = F.transform(held, lambda h: F.struct(h["of"].alias("of"), h["last"].alias("last"), F.ceil(h["last"] / STEP).cast("int").alias("steps")))
+
+    def cut(h: Column) -> Column:
+        def block(i: Column) -> Column:
+            at = F.least(i * STEP, h["last"])
+            start = h["of"]["whole"] + at
+            return F.struct(h["of"]["whole"].alias("whole"), (h["steps"] + 1).alias("blocks"),
+                            F.substring(h["of"]["bytes"], at + 1, F.lit(LONG)).cast("string").alias("body"), start.alias("start"),
+                            F.when(at == h["last"], h["of"]["end"]).otherwise(start + LONG).alias("stop"))
+        return F.transform(F.sequence(F.lit(0), h["steps"]), block)
+
+    return found.select("row", "doc_id", "kind", F.explode(F.flatten(F.transform(held, cut))).alias("b")).select("row", "doc_id", "kind", "b.*")
 
 
 def _tested(found: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def _tested(found: DataFrame) -> DataFrame:
     df = df.withColumn("classes", F.transform(F.split("body", ""), kind_of))
     df = (df.withColumn("n", F.size("x").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
           .withColumn("mean", total(F.col("x")) / F.col("n"))
-          .withColumn("squares", total(F.transform(F.array_distinct("x"), lambda v: F.pow(F.size(F.filter("x", lambda y: y == v)).cast("double"), F.lit(2.0)))))
+          .withColumn("squares", total(F.transform(F.array_distinct("chars"), lambda c: F.pow(F.length("body") - F.length(F.replace("body", c, F.lit(""))), F.lit(2.0)))))
           .withColumn("high", F.transform("x", lambda v: F.when(v >= F.col("k") / 2, 1.0).otherwise(0.0)))
           .withColumn("n1", total(F.col("high")))
           .withColumn("changes", total(F.transform("high", lambda v, i: F.when((i > 0) & (F.get("high", i - 1) != v), 1.0).otherwise(0.0))))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from flowlake.llm.pii import luhn, mod97, personal_data
 from flowlake.llm.queries import op5_secret_scan, op10_personal_data
-from flowlake.llm.secrets import secrets
+from flowlake.llm.secrets import KINDS, _blocks, secrets
+from flowlake.llm.spans import find
 from helpers_llm import clashing, given, table
 
 
@@ -97,6 +98,16 @@ def test_very_long_texts_take_no_squared_time(spark):
     assert time.monotonic() - started < 120
 
 
+def test_blocks_refer_to_a_candidate_once(spark):
+    """Nothing above the step that makes blocks needs the whole candidate, which would make it squared work."""
+    blocks = _blocks(find(table(spark, [(1, "f0" * 1000)]), KINDS).filter("kind = 3"))
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString().split("+- Generate explode(flatten(")
+    assert len(plan) == 2 and "match#" not in plan[0] and "transform(" not in plan[0]
+    assert "match" not in plan[1].split("], false, [b")[1].split("\n")[0]
+    got = [(r.whole, r.blocks, len(r.body), r.start, r.stop) for r in blocks.collect()]
+    assert got == [(0, 7, 512, a, a + 512) for a in (0, 256, 512, 768, 1024, 1280, 1488)]
+
+
 def test_scans_run_no_python(spark, sf_dir):
     for query in (op5_secret_scan, op10_personal_data):
         plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
