@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlake.llm.centroids import CLUSTERS, DIMS, ROUNDS, SCALE, clusters
 from flowlake.llm.common import documents
 from flowlake.llm.decontamination import passages
 from flowlake.llm.jaccard import similar
@@ -62,14 +63,42 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_source_mixing, op2_ngram_jaccard, op3_decontamination, op4_token_files, op5_secret_scan, op6_quality_rules, op7_substring_dedup,
-        op8_token_counts, op9_language, op10_personal_data)}
+        op8_token_counts, op9_language, op10_personal_data, op13_centroid_clustering)}
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Centroids round by round, each a table of its own."""
+    away = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.v, c.v)])::BIGINT"
+    near = f"SELECT id, vec_id, arg_min(c.k, ({away}, c.k)) AS k, min({away}) AS d FROM points p, c{{i}} c GROUP BY id, vec_id"
+    steps = [f"""a{i} AS MATERIALIZED ({near.format(i=i)}),
+x{i} AS MATERIALIZED (SELECT a{i}.k, unnest(v) AS x, unnest(range({DIMS})) AS pos FROM a{i} JOIN points USING (id)),
+m{i} AS MATERIALIZED (SELECT k, list(x ORDER BY pos) AS v FROM (SELECT k, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM x{i} GROUP BY k, pos) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (k))""" for i in range(rounds)]
+    return f"""
+WITH points AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, [floor({SCALE} * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = {DIMS} AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = {DIMS}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS k, v
+                    FROM (SELECT v, sha256('3:' || vec_id) AS h FROM points ORDER BY h LIMIT {k})),
+{", ".join(steps)},
+final AS MATERIALIZED ({near.format(i=rounds)})
+SELECT vec_id, k AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM final JOIN c{rounds} USING (k)"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_centroid_clustering": _clusters_sql(CLUSTERS, ROUNDS),
     "op2_ngram_jaccard": f"""
 WITH RECURSIVE cut AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS w FROM documents),
 sets AS (
