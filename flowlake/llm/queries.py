@@ -16,6 +16,7 @@ from flowlake.llm.mixing import mix
 from flowlake.llm.phrases import repeated_passages
 from flowlake.llm.pii import personal_data
 from flowlake.llm.quality import quality
+from flowlake.llm.ranked import search
 from flowlake.llm.secrets import secrets
 from flowlake.llm.token_counts import token_counts
 from flowlake.llm.token_ids import token_files
@@ -63,6 +64,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -70,8 +75,9 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_source_mixing, op2_ngram_jaccard, op3_decontamination, op4_token_files, op5_secret_scan, op6_quality_rules, op7_substring_dedup,
-        op8_token_counts, op9_language, op10_personal_data, op13_centroid_clustering)}
+        op8_token_counts, op9_language, op10_personal_data, op12_ranked_search, op13_centroid_clustering)}
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -98,6 +104,18 @@ FROM final JOIN c{rounds} USING (k)"""
 
 
 ORACLES: dict[str, str] = {
+    "op12_ranked_search": rf"""
+WITH cut AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS t FROM documents),
+sizes AS (SELECT doc_id, len(t) AS n FROM cut WHERE len(t) > 0),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS t FROM cut) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY t),
+m AS (SELECT doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM sizes, whole),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark),
+scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+           FROM asked JOIN tf USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
     "op13_centroid_clustering": _clusters_sql(CLUSTERS, ROUNDS),
     "op2_ngram_jaccard": f"""
 WITH RECURSIVE cut AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS w FROM documents),
