@@ -12,6 +12,7 @@ from flowlake.llm.common import documents
 from flowlake.llm.decontamination import passages
 from flowlake.llm.jaccard import similar
 from flowlake.llm.language import languages
+from flowlake.llm.minmax import near_copies
 from flowlake.llm.mixing import mix
 from flowlake.llm.phrases import repeated_passages
 from flowlake.llm.pii import personal_data
@@ -64,6 +65,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(documents(spark, sf_dir))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -75,13 +80,31 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_source_mixing, op2_ngram_jaccard, op3_decontamination, op4_token_files, op5_secret_scan, op6_quality_rules, op7_substring_dedup,
-        op8_token_counts, op9_language, op10_personal_data, op12_ranked_search, op13_centroid_clustering)}
+        op8_token_counts, op9_language, op10_personal_data, op11_minhash_near_dedup, op12_ranked_search, op13_centroid_clustering)}
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 
+def _links_sql(k: int) -> str:
+    """Sets of k-word shingles, links of 80 per cent, and what they join."""
+    return f"""
+WITH RECURSIVE cut AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {k} THEN [array_to_string(w[i:i + {k - 1}], ' ') for i in range(1, len(w) - {k - 2})]
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM cut),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT h.a, h.b, h.n = x.n AND h.n = y.n AS equal FROM shared h JOIN sizes x ON x.doc_id = h.a JOIN sizes y ON y.doc_id = h.b
+  WHERE 100 * h.n >= 80 * (x.n + y.n - h.n)),
+two_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, b FROM reach JOIN two_way ON a = r),
+classes AS (SELECT b AS doc_id, min(a) AS c FROM links WHERE equal GROUP BY b),
+parts AS (SELECT d, min(r) AS c FROM reach GROUP BY d)"""
+
+
 def _clusters_sql(k: int, rounds: int) -> str:
     """Centroids round by round, each a table of its own."""
     away = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.v, c.v)])::BIGINT"
@@ -117,21 +140,11 @@ scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
     "op13_centroid_clustering": _clusters_sql(CLUSTERS, ROUNDS),
-    "op2_ngram_jaccard": f"""
-WITH RECURSIVE cut AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS w FROM documents),
-sets AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
-                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM cut),
-sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (
-  SELECT h.a, h.b, h.n = x.n AND h.n = y.n AS equal FROM shared h JOIN sizes x ON x.doc_id = h.a JOIN sizes y ON y.doc_id = h.b
-  WHERE 100 * h.n >= 80 * (x.n + y.n - h.n)),
-two_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, b FROM reach JOIN two_way ON a = r),
-classes AS (SELECT b AS doc_id, min(a) AS c FROM links WHERE equal GROUP BY b),
-parts AS (SELECT d, min(r) AS c FROM reach GROUP BY d)
+    "op2_ngram_jaccard": f"""{_links_sql(5)}
 SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, p.c AS component_id, coalesce(k.c, t.doc_id) AS class_id
+FROM documents t LEFT JOIN sizes s USING (doc_id) LEFT JOIN classes k USING (doc_id) JOIN parts p ON p.d = t.doc_id""",
+    "op11_minhash_near_dedup": f"""{_links_sql(2)}
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, p.c AS component_id, t.doc_id = p.c AS kept, coalesce(k.c, t.doc_id) AS class_id
 FROM documents t LEFT JOIN sizes s USING (doc_id) LEFT JOIN classes k USING (doc_id) JOIN parts p ON p.d = t.doc_id""",
     "op7_substring_dedup": f"""
 WITH cut AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
