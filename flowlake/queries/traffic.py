@@ -12,6 +12,7 @@ from flowlake.queries.base import (FLOWS_SQL, LABELED_SQL, PACKETS_SQL, flows, p
 from flowlake.queries.ingest import FLOW_CSV, flow_csv
 from flowlake.scratch import scratch_path
 from flowlake.streaming import flows as streams
+from flowlake.streaming import open_flows
 
 GAP = 6 * 3600  # seconds; a user's median pause is longer, so flows are short
 
@@ -230,17 +231,39 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
         micros(F.col("bucket")).alias("bucket_us"), "malicious", "benign")
 
 
-@query("t5_streaming_metering", f"""WITH {_FLOWN}
-SELECT 'u' || user_id AS client, first_us, flow_duration, fp AS tot_fwd_pkts, bp AS tot_bwd_pkts,
-       syn AS syn_flag_cnt, fw AS init_fwd_win_byts
-FROM metered WHERE first_us + flow_duration + {GAP}000000
-       <= (SELECT max(us) // 1000 * 1000 FROM flown) - 600000000""")
-def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows closed by the watermark; the last open ones wait for later packets."""
-    path = scratch_path(spark, "t5")
-    rows = packets(spark, sf_dir).drop("up", "k", "service", "user_id")
-    rows.write.parquet(path)
-    live = streams.meter_stream(spark.readStream.schema(rows.schema).parquet(path), f"{GAP} seconds")
-    m = _drained(spark, live, "t5")
+_STREAMED = """SELECT 'u' || user_id AS client, first_us, flow_duration, fp AS tot_fwd_pkts, bp AS tot_bwd_pkts,
+       syn AS syn_flag_cnt, fw AS init_fwd_win_byts FROM metered"""
+
+
+def _streamed(m: DataFrame) -> DataFrame:
     return m.select(_user(m).alias("client"), "first_us", "flow_duration", "tot_fwd_pkts",
                     "tot_bwd_pkts", "syn_flag_cnt", "init_fwd_win_byts")
+
+
+def _packet_files(spark: SparkSession, sf_dir: str, name: str):
+    path = scratch_path(spark, name)
+    rows = packets(spark, sf_dir).drop("up", "k", "service", "user_id")
+    rows.write.parquet(path)
+    return path, rows.schema
+
+
+@query("t5_session_windows", f"""WITH {_FLOWN} {_STREAMED} WHERE first_us + flow_duration + {GAP}000000
+       <= (SELECT max(us) // 1000 * 1000 FROM flown) - 600000000""")
+def t5_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows closed by the watermark; the last open ones wait for later packets."""
+    path, schema = _packet_files(spark, sf_dir, "t5w")
+    live = streams.meter_stream(spark.readStream.schema(schema).parquet(path), f"{GAP} seconds")
+    return _streamed(_drained(spark, live, "t5w"))
+
+
+@query("t5_streaming_metering", f"WITH {_FLOWN} {_STREAMED}")
+def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flows: those that timers close while packets come, then those still open at the end of input."""
+    path, schema = _packet_files(spark, sf_dir, "t5")
+    live = open_flows.meter_open_flows(spark.readStream.schema(schema).parquet(path), GAP)
+    out, ledger = scratch_path(spark, "t5-out"), scratch_path(spark, "t5-ledger")
+    with open_flows.timed_state(spark):
+        streams.drain(live, out, ledger)
+        open_flows.end_input(spark, schema, path)
+        streams.drain(live, out, ledger)
+    return _streamed(spark.read.schema(live.schema).parquet(out))

@@ -47,3 +47,11 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
     spark = build_session(master=f"local[{cores}]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Python workers find this library where it lies; on a cluster without shared folders it comes by ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])

@@ -97,7 +97,7 @@ def meter_stream(packets: DataFrame, gap: str, late: str = "10 minutes",
     """T5: F1-F7 with session windows.
 
     A flow appears when the watermark passes its last packet plus the gap. The last open
-    flows stay in state until later packets arrive; a batch run flushes them instead.
+    flows stay in state until later packets arrive; ``open_flows.meter_open_flows`` flushes them.
     """
     ends = metering.with_endpoints(packets.withWatermark(time, late), keep=(time,))
     grouped = ends.groupBy(*metering.PAIR, F.session_window(time, gap).alias("w")).agg(
