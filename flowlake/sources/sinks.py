@@ -8,6 +8,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlake.operators.boosting import BoostedModel, load_boosted, save_boosted
+
+BOOSTED_TABLE = "boosted"
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet",
                   partition_by: tuple[str, ...] = ("label",)) -> None:
@@ -44,12 +47,19 @@ def load_scaler(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: PipelineModel | BoostedModel, path: str) -> None:
     """Fitted model folder."""
-    model.write().overwrite().save(path)
+    if isinstance(model, BoostedModel):
+        save_boosted(SparkSession.getActiveSession(), model, f"{path}/{BOOSTED_TABLE}")
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | BoostedModel:
+    spark = SparkSession.getActiveSession()
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BOOSTED_TABLE}")
+    if table.getFileSystem(spark._jsc.hadoopConfiguration()).exists(table):
+        return load_boosted(spark, f"{path}/{BOOSTED_TABLE}")
     return PipelineModel.load(path)
 
 
