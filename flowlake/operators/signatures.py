@@ -48,11 +48,34 @@ def connection_bursts(flows: DataFrame, bucket: str, min_connections: int,
 
 
 def repeated_requests(requests: DataFrame, min_repeats: int) -> DataFrame:
-    """K3: requests of one size to one URI per source."""
+    """K3: requests of one size to one URI per source, wherever they stand; ``request_runs`` finds runs."""
     return (requests.groupBy("src", "uri", "bytes").agg(F.count("*").alias("repeats"))
             .filter(F.col("repeats") >= min_repeats))
 
 
+def request_runs(requests: DataFrame, keys: Sequence[str] = ("src",), same: Sequence[str] = ("uri", "bytes"),
+                 time: str = "ts", tiebreak: str = "packet_id", min_length: int = 2,
+                 max_pause_seconds: float | None = None) -> DataFrame:
+    """K3: runs of equal requests: (keys..., same..., first_us, last_us, requests), a row per run.
+
+    A run is a stretch of a key's requests, in time order, that agree in ``same`` (missing values are
+    equal), without another request between them and, if given, without a longer pause. Requests are
+    scanned in even slices, so a run may cross their borders and a busy source covers many.
+    """
+    keys, same, order = list(keys), list(same), ["us", "tie"]
+    narrow = requests.select(*keys, F.struct(*same).alias("what"), micros(F.col(time)).alias("us"), F.col(tiebreak).alias("tie"))
+    sliced = ordered_slices(narrow, keys, order, "requests")
+    lagged = with_previous(with_previous(sliced, keys, order, "us", "_before"), keys, order, "what", "_last")
+    starts = F.col("_before").isNull() | ~F.col("what").eqNullSafe(F.col("_last"))
+    if max_pause_seconds is not None:
+        starts = starts | (F.col("us") - F.col("_before") > int(max_pause_seconds * 1e6))
+    runs = running_totals(lagged.withColumn("_starts", starts.cast("bigint")), keys, order, {"run": "_starts"})
+    return (runs.groupBy(*keys, "run", "what")
+            .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("requests"))
+            .filter(F.col("requests") >= min_length)
+            .select(*keys, "what.*", "first_us", "last_us", "requests"))
+
+
 def slow_connections(flows: DataFrame, keys: Sequence[str], min_duration_us: int,
                      max_bytes_per_second: float) -> DataFrame:
     """K4: per service, long low-rate connections and how many were open at once.

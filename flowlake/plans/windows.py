@@ -12,7 +12,7 @@ A log of bounded size is swept on the driver and becomes a local relation. A log
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -55,41 +55,44 @@ def sweep(windows: list[Row]) -> Iterator[tuple[int, int, str]]:
             yield lo, after - 1, windows[newest_last[-active[0]]]["scenario"]
 
 
-def flatten_distributed(bounds: DataFrame) -> DataFrame:
-    """Disjoint segments for a log of any size.
+def flatten_distributed(bounds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Disjoint segments for a log of any size, within each value of ``keys``: (keys..., lo, hi, ord, scenario).
 
     Cut points are ranked; a window then covers a run of ranks, which splits into at most
     two nodes per level of a binary tree over the ranks. The newest window per node, then
     per rank over the node's levels, is the winner: n log n rows, never a pair of windows.
     """
-    newest = bounds.groupBy("lo", "hi").agg(F.max(F.struct("ord", "scenario")).alias("win"))
-    cuts = newest.select(F.col("lo").alias("cut")).union(newest.select(F.col("hi") + 1)).distinct()
-    ranked = running_totals(ordered_slices(cuts.withColumn("one", F.lit(1)), [], ["cut"], "cuts"),
-                            [], ["cut"], {"rank": "one"}).select("cut", "rank")
-    levels = ranked.count().bit_length()
+    keys = list(keys)
+    newest = bounds.groupBy(*keys, "lo", "hi").agg(F.max(F.struct("ord", "scenario")).alias("win"))
+    cuts = newest.select(*keys, F.col("lo").alias("cut")).union(newest.select(*keys, F.col("hi") + 1)).distinct()
+    ranked = running_totals(ordered_slices(cuts.withColumn("one", F.lit(1)), keys, ["cut"], "cuts"),
+                            keys, ["cut"], {"rank": "one"}).select(*keys, "cut", "rank")
+    levels = (ranked.agg(F.max("rank")).first()[0] or 0).bit_length()
     covered = (newest
-               .join(ranked.select(F.col("cut").alias("lo"), F.col("rank").alias("r0")), "lo")
-               .join(ranked.select((F.col("cut") - 1).alias("hi"), F.col("rank").alias("r1")), "hi")
-               .select("win", "r0", "r1",
+               .join(ranked.select(*keys, F.col("cut").alias("lo"), F.col("rank").alias("r0")), [*keys, "lo"])
+               .join(ranked.select(*keys, (F.col("cut") - 1).alias("hi"), F.col("rank").alias("r1")), [*keys, "hi"])
+               .select(*keys, "win", "r0", "r1",
                        F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-               .selectExpr("win", "level", "shiftright(r0 + shiftleft(1L, level) - 1, level) AS a",
+               .selectExpr(*keys, "win", "level", "shiftright(r0 + shiftleft(1L, level) - 1, level) AS a",
                            "shiftright(r1, level) AS b")
                .filter("a < b")
-               .selectExpr("win", "level", """explode(array_compact(array(
+               .selectExpr(*keys, "win", "level", """explode(array_compact(array(
                    IF(a % 2 = 1, a, NULL), IF(b % 2 = 1, b - 1, NULL)))) AS node"""))
-    nodes = covered.groupBy("level", "node").agg(F.max("win").alias("win"))
-    places = ranked.select("rank", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")) \
-        .selectExpr("rank", "level", "shiftright(rank, level) AS node")
-    # A node near the root meets a large share of all ranks, but there are few such nodes.
-    top = levels - TOP_NODES.bit_length() + 2
+    nodes = covered.groupBy(*keys, "level", "node").agg(F.max("win").alias("win"))
+    places = ranked.select(*keys, "rank", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")) \
+        .selectExpr(*keys, "rank", "level", "shiftright(rank, level) AS node")
+    # A node near the root meets a large share of all ranks, but there are few such nodes. With keys
+    # their number is not bounded; the join is then left to adaptive execution, which splits it.
+    top = levels - TOP_NODES.bit_length() + 2 if not keys else levels + 1
+    at = [*keys, "level", "node"]
     near_root = places.filter(F.col("level") >= top).join(
-        F.broadcast(nodes.filter(F.col("level") >= top)), ["level", "node"])
+        F.broadcast(nodes.filter(F.col("level") >= top)), at)
     below = places.filter(F.col("level") < top).join(
-        nodes.filter(F.col("level") < top), ["level", "node"])
-    winners = near_root.unionByName(below).groupBy("rank").agg(F.max("win").alias("win"))
-    ends = ranked.select((F.col("rank") - 1).alias("rank"), (F.col("cut") - 1).alias("hi"))
-    return (winners.join(ranked, "rank").join(ends, "rank")
-            .select(F.col("cut").alias("lo"), "hi", F.col("win.scenario").alias("scenario")))
+        nodes.filter(F.col("level") < top), at)
+    winners = near_root.unionByName(below).groupBy(*keys, "rank").agg(F.max("win").alias("win"))
+    ends = ranked.select(*keys, (F.col("rank") - 1).alias("rank"), (F.col("cut") - 1).alias("hi"))
+    return (winners.join(ranked, [*keys, "rank"]).join(ends, [*keys, "rank"])
+            .select(*keys, F.col("cut").alias("lo"), "hi", F.col("win.ord").alias("ord"), F.col("win.scenario").alias("scenario")))
 
 
 def bounded_segments(sessions: DataFrame, limit: int = DRIVER_LIMIT) -> list[tuple] | None:

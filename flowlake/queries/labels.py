@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.functions.times import micros, with_flow_time
-from flowlake.operators import alerts, labeling
+from flowlake.operators import alerts, labeling, targets
 from flowlake.queries.base import (ACTIVITY_SQL, ALL_SESSIONS_SQL, FLOWS_SQL, LABELED_SQL,
                                    SESSIONS_SQL, activity_sessions, all_sessions, flows, labeled,
                                    query, sessions)
@@ -94,6 +94,40 @@ def j7_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  broadcast_limit=0).select("flow_id", "label", "scenario"))
 
 
+_TARGET_LABELS_SQL = f"""WITH {FLOWS_SQL}, {ACTIVITY_SQL},
+sent AS (SELECT *, '10.0.0.' || src AS src_ip, '10.0.1.' || (k % 7) AS dst_ip FROM flows),
+aimed AS (SELECT *, ['10.0.1.' || (user_id % 7), '10.0.0.' || (user_id + 1), '10.0.0.' || (user_id + 2)] AS targets
+          FROM activity),
+hits AS (SELECT flow_id, arg_max(scenario, ord) AS scenario
+         FROM sent JOIN (SELECT *, unnest(targets) AS target FROM aimed) ON {{on}} AND ts >= s AND ts <= e GROUP BY flow_id)
+SELECT f.flow_id, CAST(h.scenario IS NOT NULL AS INTEGER) AS label, coalesce(h.scenario, '') AS scenario
+FROM flows f LEFT JOIN hits h USING (flow_id)"""
+
+
+def _aimed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Flows to seven busy servers, and windows that each aim at one server and two other clients."""
+    sent = flows(spark, sf_dir).select(
+        "flow_id", "ts", F.concat(F.lit("10.0.0."), F.col("src").cast("string")).alias("src_ip"),
+        F.concat(F.lit("10.0.1."), (F.col("k") % 7).cast("string")).alias("dst_ip"))
+    log, user = activity_sessions(spark, sf_dir), F.col("user_id")
+    other = lambda n: F.concat(F.lit("10.0.0."), (user + n).cast("string"))
+    return sent, log.withColumn("targets", F.array(F.concat(F.lit("10.0.1."), (user % 7).cast("string")), other(1), other(2)))
+
+
+@query("j1_match_targets", _TARGET_LABELS_SQL.format(on="target IN (dst_ip, src_ip)"))
+def j1_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels where either address is a target, from a shared index."""
+    sent, log = _aimed(spark, sf_dir)
+    return targets.label_flows_by_target(sent, log, ["dst_ip", "src_ip"]).select("flow_id", "label", "scenario")
+
+
+@query("j1_match_targets_unbounded", _TARGET_LABELS_SQL.format(on="target = dst_ip"))
+def j1_targets_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by destination, by the plan for logs of any size; each server has a seventh of the flows."""
+    sent, log = _aimed(spark, sf_dir)
+    return targets.label_flows_by_target(sent, log, broadcast_limit=0).select("flow_id", "label", "scenario")
+
+
 @query("j3_session_match_report", f"""WITH {FLOWS_SQL}, {SESSIONS_SQL}
 SELECT ord, scenario, count(flow_id) AS matched
 FROM sessions LEFT JOIN flows ON ts >= s AND ts <= e GROUP BY ord, scenario""")

@@ -138,6 +138,21 @@ def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures.repeated_requests(p, 2)
 
 
+@query("k3_request_runs", f"""WITH {PACKETS_SQL},
+asked AS (SELECT service AS src, k % 2 AS uri, bytes > 50 AS large, epoch_us(ts) AS us, packet_id FROM packets),
+marked AS (SELECT *, CASE WHEN uri IS DISTINCT FROM lag(uri) OVER w OR large IS DISTINCT FROM lag(large) OVER w
+                          OR us - lag(us) OVER w > 1800000000 THEN 1 ELSE 0 END AS starts
+           FROM asked WINDOW w AS (PARTITION BY src ORDER BY us, packet_id)),
+runs AS (SELECT *, sum(starts) OVER (PARTITION BY src ORDER BY us, packet_id) AS run FROM marked)
+SELECT src, uri, large, min(us) AS first_us, max(us) AS last_us, count(*) AS requests
+FROM runs GROUP BY src, run, uri, large HAVING count(*) >= 2""")
+def k3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sources, each with a large share of the requests; a pause of half an hour ends a run."""
+    p = packets(spark, sf_dir).select(F.col("service").alias("src"), (F.col("k") % 2).alias("uri"),
+                                      (F.col("bytes") > 50).alias("large"), "ts", "packet_id")
+    return signatures.request_runs(p, same=["uri", "large"], max_pause_seconds=1800)
+
+
 @query("k4_slow_connections", f"""WITH {PACKETS_SQL},
 c AS (SELECT service, epoch_us(ts) AS a, epoch_us(ts) + k::BIGINT * 60000000 AS b FROM packets
       WHERE k::BIGINT * 60000000 >= 600000000 AND bytes <= 200),

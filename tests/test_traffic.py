@@ -111,6 +111,35 @@ def test_fan_out_and_bursts(spark):
     assert signatures.repeated_requests(web, 2).first()["repeats"] == 3
 
 
+def test_runs_of_equal_requests(spark):
+    """Runs cross the borders of slices; missing values are equal; a pause ends a run."""
+    import random
+    rng, rows, second = random.Random(3), [], 0
+    for i in range(4000):
+        second += rng.choice([1, 1, 1, 100])
+        # One source has most requests, and one run of it covers several slices.
+        src = "busy" if rng.random() < 0.8 else rng.choice(["a", None])
+        what = (None, 5) if 500 < i < 2500 and src == "busy" else (rng.choice(["/", None]), rng.choice([5, None]))
+        rows.append((i, T0 + timedelta(seconds=second), src, *what))
+    df = spark.createDataFrame(rows, "packet_id INT, ts TIMESTAMP, src STRING, uri STRING, bytes INT")
+    for pause in (None, 50):
+        want = []
+        for src in ("busy", "a", None):
+            run = []
+            for r in [*(x for x in rows if x[2] == src), None]:
+                if run and (r is None or r[3:] != run[-1][3:] or (pause and (r[1] - run[-1][1]).total_seconds() > pause)):
+                    if len(run) > 1:
+                        want.append((src, *run[0][3:], run[0][1], run[-1][1], len(run)))
+                    run = []
+                run.append(r)
+        got = signatures.request_runs(df, max_pause_seconds=pause).withColumns(
+            {c: F.timestamp_micros(f"{c}_us") for c in ("first", "last")})
+        got = [(r["src"], r["uri"], r["bytes"], r["first"].astimezone(timezone.utc), r["last"].astimezone(timezone.utc), r["requests"]) for r in got.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert (max(w[-1] for w in want) > 1400) == (pause is None)
+    assert signatures.request_runs(df.limit(0)).count() == 0
+
+
 def test_slow_connections(spark):
     rows = [("web", 0, 100, 1.0), ("web", 50, 100, 1.0), ("web", 100, 100, 1.0), ("web", 101, 100, 1.0),
             ("web", 0, 5, 1.0), ("web", 0, 100, 99.0)]
