@@ -110,6 +110,13 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "scenario", "user_id"))
 
 
+ACTIVITY_LABELS_SQL = f"""WITH {FLOWS_SQL}, {ACTIVITY_SQL},
+hits AS (SELECT flow_id, arg_max(scenario, ord) AS scenario
+         FROM flows JOIN activity ON ts >= s AND ts <= e GROUP BY flow_id)
+SELECT f.flow_id, CAST(h.scenario IS NOT NULL AS INTEGER) AS label, coalesce(h.scenario, '') AS scenario
+FROM flows f LEFT JOIN hits h USING (flow_id)"""
+
+
 # --- feature matrix ---------------------------------------------------------------------------
 FEATURES = ("quantity", "price", "discount", "tax", "line", "bwd_urg_flags", "unit_price")
 MATRIX_SQL = """matrix AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.times import micros, with_flow_time
 from flowlake.operators import alerts, labeling, targets
-from flowlake.queries.base import (ACTIVITY_SQL, ALL_SESSIONS_SQL, FLOWS_SQL, LABELED_SQL,
+from flowlake.queries.base import (ACTIVITY_LABELS_SQL, ACTIVITY_SQL, ALL_SESSIONS_SQL, FLOWS_SQL, LABELED_SQL,
                                    SESSIONS_SQL, activity_sessions, all_sessions, flows, labeled,
                                    query, sessions)
 from flowlake.sources import sessions as session_source
@@ -73,21 +73,14 @@ def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy("winner", "windows").agg(F.count("*").alias("flows")))
 
 
-_ACTIVITY_LABELS_SQL = f"""WITH {FLOWS_SQL}, {ACTIVITY_SQL},
-hits AS (SELECT flow_id, arg_max(scenario, ord) AS scenario
-         FROM flows JOIN activity ON ts >= s AND ts <= e GROUP BY flow_id)
-SELECT f.flow_id, CAST(h.scenario IS NOT NULL AS INTEGER) AS label, coalesce(h.scenario, '') AS scenario
-FROM flows f LEFT JOIN hits h USING (flow_id)"""
-
-
-@query("j7_many_session_join", _ACTIVITY_LABELS_SQL)
+@query("j7_many_session_join", ACTIVITY_LABELS_SQL)
 def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window per user and day: array search, as-of scan beyond the bound."""
     return (labeling.label_flows(flows(spark, sf_dir), activity_sessions(spark, sf_dir))
             .select("flow_id", "label", "scenario"))
 
 
-@query("j7_unbounded_log_join", _ACTIVITY_LABELS_SQL)
+@query("j7_unbounded_log_join", ACTIVITY_LABELS_SQL)
 def j7_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the plan for logs of any size: nothing collected, no broadcast of windows."""
     return (labeling.label_flows(flows(spark, sf_dir), activity_sessions(spark, sf_dir),

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.times import micros
 from flowlake.operators import metering, signatures
-from flowlake.queries.base import (FLOWS_SQL, LABELED_SQL, PACKETS_SQL, flows, packets, query,
-                                   sessions)
+from flowlake.queries.base import (ACTIVITY_LABELS_SQL, FLOWS_SQL, LABELED_SQL, PACKETS_SQL,
+                                   activity_sessions, flows, packets, query, sessions)
 from flowlake.queries.ingest import FLOW_CSV, flow_csv
 from flowlake.scratch import scratch_path
 from flowlake.streaming import flows as streams
-from flowlake.streaming import open_flows
+from flowlake.streaming import growing_log, open_flows
 
 GAP = 6 * 3600  # seconds; a user's median pause is longer, so flows are short
 
@@ -232,6 +232,30 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "label", "scenario")
 
 
+@query("t2_growing_log", ACTIVITY_LABELS_SQL)
+def t2_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows and log both arrive in two parts; windows of days 13 to 15 come after the flows of these days."""
+    sent, log = flows(spark, sf_dir).select("flow_id", "ts"), activity_sessions(spark, sf_dir).drop("user_id")
+    parts = {"flows": (sent, F.dayofmonth("ts") < 16), "log": (log, F.dayofmonth("start") < 13)}
+    path = {name: scratch_path(spark, f"t2g-{name}") for name in parts}
+    out, ledger = scratch_path(spark, "t2g-out"), scratch_path(spark, "t2g-ledger")
+
+    def arrive(early: bool) -> None:
+        for name, (rows, first) in parts.items():
+            rows.filter(first if early else ~first).write.mode("append").parquet(path[name])
+
+    arrive(early=True)
+    live = growing_log.label_growing(*[spark.readStream.schema(parts[n][0].schema).parquet(path[n]) for n in parts],
+                                     "5 days", bucket_seconds=6 * 3600)
+    with growing_log.newest_stream_leads(spark):
+        streams.drain(live, out, ledger)
+        arrive(early=False)
+        streams.drain(live, out, ledger)
+        open_flows.end_input(spark, sent.schema, path["flows"])
+        streams.drain(live, out, ledger)
+    return spark.read.schema(live.schema).parquet(out).select("flow_id", "label", "scenario")
+
+
 @query("t4_tumbling_label_counts", f"""WITH {LABELED_SQL}
 SELECT epoch_us(time_bucket(INTERVAL '5 minutes', ts)) AS bucket_us,
        count(*) FILTER (label = 1) AS malicious, count(*) FILTER (label = 0) AS benign
