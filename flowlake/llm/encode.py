@@ -15,6 +15,8 @@ from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from flowlake.llm.common import give_back
 
@@ -83,30 +85,59 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if not self.cut:
+        """Texts cut at every blank, each different piece looked up once, ids gathered by their places."""
+        if not self.cut or not texts:
             return self._batch(texts)
-        cut = [t.split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        flat, found, new = self._look_up(cut)
-        if any(h != h.strip() for h in heads) or any(p != p.strip() or not p for p in new):
-            # White space beside a blank: cut these texts only where a blank stands alone.
-            odd = [h != h.strip() or any(p != p.strip() or not p for p in c) for h, c in zip(heads, cut)]
-            cut = [SAFE.split(t) if o else [h, *c] for t, o, h, c in zip(texts, odd, heads, cut)]
-            heads = [c.pop(0) for c in cut]
-            flat, found, new = self._look_up(cut)
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        ends = np.asarray(lists.offsets)
+        coded = lists.flatten().dictionary_encode()
+        code, pieces = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        first = np.zeros(len(code), bool)
+        first[ends[:-1]] = True
+        # White space beside a blank: these texts are cut only where a blank stands alone.
+        bare = np.fromiter((p == p.strip() for p in pieces), bool, len(pieces))
+        full = bare & np.fromiter(map(bool, pieces), bool, len(pieces))
+        odd = np.add.reduceat(~np.where(first, bare[code], full[code]), ends[:-1]) > 0
+        if odd.any():
+            rest = iter(self._singly([t for t, o in zip(texts, odd) if o]))
+            plain = iter(self._encode([t for t, o in zip(texts, odd) if not o]))
+            return [next(rest if o else plain) for o in odd]
+        # Heads have no blank before them; they stand behind all other pieces.
+        inner, heads = np.zeros(len(pieces), bool), np.zeros(len(pieces), bool)
+        inner[code[~first]] = heads[code[first]] = True
+        found = self._known([pieces[i] for i in np.flatnonzero(inner)]) + self._batch([pieces[i] for i in np.flatnonzero(heads)])
+        at = (np.cumsum(inner, dtype=np.int32) - 1)[code]
+        at[first] = (inner.sum() + np.cumsum(heads, dtype=np.int32) - 1)[code[first]]
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // np.int32(self.dtype.itemsize)
+        pool = np.frombuffer(b"".join(found), self.dtype)
+        count = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        # Where an id stands in the pool, less where it goes.
+        shift = (np.cumsum(sizes, dtype=np.int64) - sizes)[at] - upto[:-1]
+        raw = pool[np.repeat(shift, count) + np.arange(upto[-1])].tobytes()
+        cuts = (upto[ends] * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _singly(self, texts: list[str]) -> list[bytes]:
+        cut = [SAFE.split(t) for t in texts]
+        heads = self._batch([c[0] for c in cut])
+        flat = list(chain.from_iterable(c[1:] for c in cut))
+        found, ends = self._known(flat), list(accumulate(len(c) - 1 for c in cut))
+        return [h + b"".join(found[b - len(c) + 1:b]) for h, c, b in zip(heads, cut, ends)]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """ids of each piece with a blank before it, remembered or learned."""
+        found = list(map(self.memory.get, pieces))
+        new = {p for p, x in zip(pieces, found) if x is None}
         if new:
             learned = self._learn(list(new))
-            found = [learned[p] if x is None else x for p, x in zip(flat, found)]
+            found = [learned[p] if x is None else x for p, x in zip(pieces, found)] if len(new) < len(pieces) else list(map(learned.get, pieces))
             if len(self.memory) > self.remembered:
                 self.memory = {}
-            self.memory.update((p, x) for p, x in learned.items() if len(p) <= LONGEST)
-        ends = list(accumulate(map(len, cut)))
-        return [h + b"".join(found[b - len(c):b]) for h, c, b in zip(self._batch(heads), cut, ends)]
-
-    def _look_up(self, cut: list[list[str]]) -> tuple[list[str], list[bytes | None], set[str]]:
-        flat = list(chain.from_iterable(cut))
-        found = list(map(self.memory.get, flat))
-        return flat, found, {p for p, x in zip(flat, found) if x is None}
+            for p in [p for p in learned if len(p) > LONGEST]:
+                del learned[p]
+            self.memory.update(learned)
+        return found
 
 
 @lru_cache(maxsize=2)
