@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log, pi
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions.fixed import TCP_FLAGS
@@ -13,6 +14,11 @@ from flowlake.functions.times import micros
 from flowlake.plans.ordered import ordered_slices, running_totals, with_previous
 
 
+SKETCH_LOG = 12               # two to this many registers a sketch
+GAP_STEP = 1.05               # from bin to bin of a gap's histogram
+JITTER = 0.3                  # share of the period by which a beacon's gaps differ from it
+
+
 def port_fan_out(packets: DataFrame, bucket: str, min_ports: int = 1,
                  approximate: bool = False) -> DataFrame:
     """K1: distinct destination ports and SYN-only packets per source and window.
@@ -36,6 +42,34 @@ def port_fan_out(packets: DataFrame, bucket: str, min_ports: int = 1,
             .select(F.col("w.start").alias("bucket"), "src", "ports", "syn_only"))
 
 
+def port_sketches(packets: DataFrame, bucket: str = "1 minute", log_registers: int = SKETCH_LOG) -> DataFrame:
+    """K1: (bucket, src, ports_sketch, syn_only) per source and small window, to be stored.
+
+    A sketch has a bounded size (4 KB at 2^12 registers, far less for few ports), whatever the traffic.
+    """
+    flags = F.col("flags")
+    probe = (flags.bitwiseAND(TCP_FLAGS["syn"]) != 0) & (flags.bitwiseAND(TCP_FLAGS["ack"]) == 0)
+    return (packets.groupBy(F.window("ts", bucket).alias("w"), "src")
+            .agg(F.hll_sketch_agg(F.col("dport").cast("int"), log_registers).alias("ports_sketch"), F.count_if(probe).alias("syn_only"))
+            .select(F.col("w.start").alias("bucket"), "src", "ports_sketch", "syn_only"))
+
+
+def fan_out_from_sketches(sketches: DataFrame, bucket: str, min_ports: int = 1) -> DataFrame:
+    """K1 for any window that whole sketch windows fill, without reading a packet again.
+
+    ``ports`` is an estimate: off by more than ``sketch_error`` of the count in one of 20 windows.
+    """
+    return (sketches.groupBy(F.window("bucket", bucket).alias("w"), "src")
+            .agg(F.hll_sketch_estimate(F.hll_union_agg("ports_sketch")).alias("ports"), F.sum("syn_only").alias("syn_only"))
+            .filter(F.col("ports") >= min_ports)
+            .select(F.col("w.start").alias("bucket"), "src", "ports", "syn_only"))
+
+
+def sketch_error(log_registers: int = SKETCH_LOG) -> float:
+    """Two standard errors of a sketch's estimate, as a share of the count."""
+    return 2 * 1.04 / 2 ** (log_registers / 2)
+
+
 def connection_bursts(flows: DataFrame, bucket: str, min_connections: int,
                       max_duration_us: int | None = None) -> DataFrame:
     """K2: short connections to one service per source and window."""
@@ -120,6 +154,37 @@ def beacon_regularity(packets: DataFrame, keys: Sequence[str] = ("src", "dst"),
                     F.try_divide(F.col("_std"), F.col("mean_gap_s")).alias("gap_cv")))
 
 
+def beacon_period(packets: DataFrame, keys: Sequence[str] = ("src", "dst"), time: str = "ts",
+                  tiebreak: str = "packet_id", jitter: float = JITTER, min_gaps: int = 8) -> DataFrame:
+    """K5 under jitter: (keys..., gaps, period_s, share, coherence) per pair.
+
+    Gaps are counted in bins that grow by a twentieth, some hundred a pair at most, however many
+    packets it has. The period is the mean gap of the window from ``1 - jitter`` to ``1 + jitter`` that
+    holds most gaps (the shortest such), ``share`` what it holds. ``coherence`` is the length of the
+    mean of exp(2 pi i gap / period): 1 for clockwork, 0.5 for gaps spread evenly over 30 per cent on
+    both sides, 0.16 for calls that come at random. Repeated instants have no gap.
+    """
+    keys, order = list(keys), ["us", "tie"]
+    narrow = packets.select(*keys, micros(F.col(time)).alias("us"), F.col(tiebreak).alias("tie"))
+    gap = F.col("us") - F.col("_before")
+    gaps = with_previous(ordered_slices(narrow, keys, order, "beacons"), keys, order, "us", "_before").withColumn("gap", gap).filter("gap > 0")
+    bins = (gaps.groupBy(*keys, F.floor(F.log(F.col("gap").cast("double")) / F.log(F.lit(GAP_STEP))).alias("bin"))
+            .agg(F.count("*").alias("n"), F.sum("gap").alias("total")))
+    width = int(log((1 + jitter) / (1 - jitter)) / log(GAP_STEP))
+    pair = Window.partitionBy(*keys)
+    near = pair.orderBy("bin").rangeBetween(0, width)
+    held = bins.select(*keys, "bin", "n", "total", F.sum("n").over(near).alias("inside"), F.sum("total").over(near).alias("inside_us"),
+                       F.sum("n").over(pair).alias("gaps"))
+    best = held.withColumn("best", F.max(F.struct("inside", (-F.col("bin")).alias("first"), "inside_us")).over(pair)).filter(F.col("gaps") >= min_gaps)
+    period = F.col("best.inside_us") / F.col("best.inside")
+    turn = 2 * pi * (F.col("total") / F.col("n")) / period
+    part = lambda f: F.sum(F.col("n") * f(turn)) / F.first("gaps")
+    return (best.groupBy(*keys).agg(
+        F.first("gaps").alias("gaps"), (F.first(period) / F.lit(1e6)).alias("period_s"),
+        F.first(F.col("best.inside") / F.col("gaps")).alias("share"),
+        F.sqrt(part(F.cos) * part(F.cos) + part(F.sin) * part(F.sin)).alias("coherence")))
+
+
 def outbound_asymmetry(traffic: DataFrame, client: str, peer: str, outbound: str, size: str,
                        min_ratio: float = 0.0) -> DataFrame:
     """K6: bytes sent and received per pair, their ratio, and the mean sent payload."""

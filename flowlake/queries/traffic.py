@@ -10,7 +10,7 @@ from flowlake.operators import metering, signatures
 from flowlake.queries.base import (ACTIVITY_LABELS_SQL, FLOWS_SQL, LABELED_SQL, PACKETS_SQL,
                                    activity_sessions, flows, packets, query, sessions)
 from flowlake.queries.ingest import FLOW_CSV, flow_csv
-from flowlake.scratch import scratch_path
+from flowlake.scratch import materialize, scratch_path
 from flowlake.streaming import flows as streams
 from flowlake.streaming import growing_log, open_flows
 
@@ -117,6 +117,21 @@ def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
         micros(F.col("bucket")).alias("bucket_us"), "src", "ports", "syn_only")
 
 
+@query("k1_sketched_fan_out", f"""WITH {PACKETS_SQL}
+SELECT epoch_us(date_trunc('day', ts)) AS bucket_us, service AS src, count(DISTINCT k * 7 + event_day % 5) AS ports, true AS close,
+       count(*) FILTER ((k % 32) & 2 <> 0 AND (k % 32) & 16 = 0) AS syn_only
+FROM (SELECT *, day(ts) AS event_day FROM packets) GROUP BY ALL""")
+def k1_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per hour, stored, then rolled up to days; exact counts beside them, and whether the two are within the error."""
+    p = packets(spark, sf_dir).select("ts", F.col("service").alias("src"), (F.col("k") * 7 + F.dayofmonth("ts") % 5).alias("dport"), "flags")
+    stored = materialize(signatures.port_sketches(p, "1 hour"), "port-sketches")
+    rolled = signatures.fan_out_from_sketches(stored, "1 day").withColumnRenamed("ports", "estimate")
+    exact = signatures.port_fan_out(p, "1 day").select("bucket", "src", "ports")
+    # Twice the bound: one of the many windows may lie beyond two standard errors.
+    close = F.abs(F.col("estimate") - F.col("ports")) <= F.ceil(2 * signatures.sketch_error() * F.col("ports"))
+    return rolled.join(exact, ["bucket", "src"]).select(micros(F.col("bucket")).alias("bucket_us"), "src", "ports", close.alias("close"), "syn_only")
+
+
 @query("k2_connection_bursts", f"""WITH {PACKETS_SQL}
 SELECT epoch_us(date_trunc('day', ts)) AS bucket_us, user_id AS src, service AS dst,
        k % 10 AS dport, count(*) AS connections
@@ -181,6 +196,23 @@ def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("gap_cv", 6).alias("gap_cv"))
 
 
+@query("k5_beacon_period", f"""WITH {PACKETS_SQL},
+g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, packet_id) AS gap FROM packets),
+bins AS (SELECT user_id, floor(ln(gap::DOUBLE) / ln(1.05::DOUBLE))::BIGINT AS bin, count(*) AS n, sum(gap)::BIGINT AS total
+         FROM g WHERE gap > 0 GROUP BY ALL),
+held AS (SELECT *, sum(n) OVER near AS inside, sum(total) OVER near AS inside_us, sum(n) OVER (PARTITION BY user_id) AS gaps
+         FROM bins WINDOW near AS (PARTITION BY user_id ORDER BY bin RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+best AS (SELECT user_id, inside_us::DOUBLE / inside AS period, inside::DOUBLE / gaps AS share FROM held WHERE gaps >= 3
+         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY inside DESC, bin) = 1)
+SELECT user_id, any_value(gaps)::BIGINT AS gaps, round(any_value(period) / 1e6::DOUBLE, 4) AS period_s, round(any_value(share), 6) AS share,
+       round(sqrt((sum(n * cos(2 * pi() * (total::DOUBLE / n) / period)) / any_value(gaps)) ** 2
+                  + (sum(n * sin(2 * pi() * (total::DOUBLE / n) / period)) / any_value(gaps)) ** 2), 6) AS coherence
+FROM held JOIN best USING (user_id) GROUP BY user_id""")
+def k5_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = signatures.beacon_period(packets(spark, sf_dir), ["user_id"], min_gaps=3)
+    return out.select("user_id", "gaps", *[F.round(c, d).alias(c) for c, d in (("period_s", 4), ("share", 6), ("coherence", 6))])
+
+
 @query("k6_outbound_asymmetry", f"""WITH {PACKETS_SQL},
 s AS (SELECT user_id, service, coalesce(sum(bytes) FILTER (up), 0)::BIGINT AS sent,
         coalesce(sum(bytes) FILTER (NOT up), 0)::BIGINT AS received,

@@ -97,6 +97,50 @@ def test_beacons(spark):
     assert cv["steady"] == 0 and cv["random"] > 0.9
 
 
+def test_beacons_under_jitter(spark):
+    """A period with 30 per cent jitter is told from random calls and from uneven ones, by brute force too."""
+    import math
+    import random
+    rng, rows, made = random.Random(8), [], {}
+    for i in range(30):
+        for kind, gap in (("beacon", lambda: 60 * rng.uniform(0.7, 1.3)), ("clock", lambda: 15.0),
+                          ("random", lambda: rng.expovariate(1 / 60)), ("noisy", lambda: 300 * rng.uniform(0.75, 1.25) if rng.random() < 0.8 else rng.uniform(1, 20))):
+            second, gaps = 0.0, []
+            for k in range(120):
+                rows.append((len(rows), T0 + timedelta(seconds=round(second, 6)), f"{kind}{i}", "C2"))
+                second += gap()
+            made[f"{kind}{i}"] = [(b[1] - a[1]).total_seconds() for a, b in zip(rows[-120:], rows[-119:])]
+    rows += [(len(rows) + j, T0, "still", "C2") for j in range(50)]
+    got = {r["src"]: r for r in signatures.beacon_period(spark.createDataFrame(
+        rows, "packet_id INT, ts TIMESTAMP, src STRING, dst STRING")).collect()}
+    assert set(got) == set(made), "repeated instants have no gap"
+    for src, gaps in made.items():
+        p = got[src]["period_s"]
+        exact = abs(sum(complex(math.cos(2 * math.pi * g / p), math.sin(2 * math.pi * g / p)) for g in gaps)) / len(gaps)
+        assert abs(got[src]["coherence"] - exact) < 0.03 and got[src]["gaps"] == len(gaps) == 119
+    of = lambda kind, c: [got[f"{kind}{i}"][c] for i in range(30)]
+    assert all(abs(p - 15) < 1e-6 for p in of("clock", "period_s")) and min(of("clock", "coherence")) > 0.999
+    assert all(54 < p < 66 for p in of("beacon", "period_s")) and min(of("beacon", "coherence")) > 0.4
+    assert all(270 < p < 330 for p in of("noisy", "period_s")) and min(of("noisy", "share")) > 0.6
+    assert max(of("random", "coherence")) < 0.4 and max(of("random", "share")) < 0.6 < min(of("beacon", "share"))
+
+
+def test_sketches_roll_up(spark):
+    df = spark.range(60_000).select(
+        (F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 7200)).alias("ts"), F.when(F.col("id") % 3 > 0, "scanner").otherwise("client").alias("src"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 40_000).otherwise(F.col("id") % 5).cast("int").alias("dport"), F.lit(2).alias("flags"))
+    stored = signatures.port_sketches(df)
+    assert stored.agg(F.max(F.octet_length("ports_sketch"))).first()[0] < 5000
+    for bucket in ("1 hour", "1 day"):
+        want = {(r["bucket"], r["src"]): r for r in signatures.port_fan_out(df, bucket).collect()}
+        got = signatures.fan_out_from_sketches(stored, bucket).collect()
+        assert {(r["bucket"], r["src"]) for r in got} == set(want)
+        for r in got:
+            exact = want[r["bucket"], r["src"]]
+            assert abs(r["ports"] - exact["ports"]) <= 2 * signatures.sketch_error() * exact["ports"] and r["syn_only"] == exact["syn_only"]
+    assert signatures.fan_out_from_sketches(stored, "1 day", min_ports=100).count() == 1
+
+
 def test_fan_out_and_bursts(spark):
     rows = [packet(i, i) for i in range(3)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("dport", F.col("packet_id").cast("int"))
