@@ -117,8 +117,9 @@ def label_flows_by_target(flows: DataFrame, sessions: DataFrame, addresses: Sequ
     rows = windows.bounded_rows(bounds, broadcast_limit)
     if rows is not None:
         return _finish(_lookup(flows, rows, addresses, time))
-    segments = windows.flatten_distributed(bounds, ["target"]).unionByName(
-        windows.flatten_distributed(bounds.filter("target IS NULL")).withColumn("target", F.lit(None).cast("string")))
+    told = ["ord", "scenario"]
+    segments = windows.flatten_distributed(bounds, ["target"], told).unionByName(
+        windows.flatten_distributed(bounds.filter("target IS NULL"), winner=told).withColumn("target", F.lit(None).cast("string")))
     joined, found = flows, []
     for i, address in enumerate([*addresses, None]):
         side = segments.filter(F.col("target").isNotNull() if address else F.col("target").isNull())

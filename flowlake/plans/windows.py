@@ -55,12 +55,13 @@ def sweep(windows: list[Row]) -> Iterator[tuple[int, int, str]]:
             yield lo, after - 1, windows[newest_last[-active[0]]]["scenario"]
 
 
-def flatten_distributed(bounds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Disjoint segments for a log of any size, within each value of ``keys``: (keys..., lo, hi, ord, scenario).
+def flatten_distributed(bounds: DataFrame, keys: Sequence[str] = (), winner: Sequence[str] = ("scenario",)) -> DataFrame:
+    """Disjoint segments for a log of any size, within each value of ``keys``: (keys..., lo, hi, scenario).
 
     Cut points are ranked; a window then covers a run of ranks, which splits into at most
     two nodes per level of a binary tree over the ranks. The newest window per node, then
     per rank over the node's levels, is the winner: n log n rows, never a pair of windows.
+    ``winner`` names what is told of it, of ``ord`` and ``scenario``.
     """
     keys = list(keys)
     newest = bounds.groupBy(*keys, "lo", "hi").agg(F.max(F.struct("ord", "scenario")).alias("win"))
@@ -92,7 +93,7 @@ def flatten_distributed(bounds: DataFrame, keys: Sequence[str] = ()) -> DataFram
     winners = near_root.unionByName(below).groupBy(*keys, "rank").agg(F.max("win").alias("win"))
     ends = ranked.select(*keys, (F.col("rank") - 1).alias("rank"), (F.col("cut") - 1).alias("hi"))
     return (winners.join(ranked, [*keys, "rank"]).join(ends, [*keys, "rank"])
-            .select(*keys, F.col("cut").alias("lo"), "hi", F.col("win.ord").alias("ord"), F.col("win.scenario").alias("scenario")))
+            .select(*keys, F.col("cut").alias("lo"), "hi", *[F.col(f"win.{c}").alias(c) for c in winner]))
 
 
 def bounded_segments(sessions: DataFrame, limit: int = DRIVER_LIMIT) -> list[tuple] | None:
