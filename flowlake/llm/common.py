@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -23,6 +24,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 BATCH_BYTES = 4 << 20
 PART_BYTES = 2 << 20          # text that one Python call handles at a time
 BROADCAST_ROWS = 1 << 20      # keys that may be broadcast, after they were counted
+HOT_ROWS = 4096               # rows from which on a key is hot, in tables of up to HOT_ROWS * BROADCAST_ROWS rows
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -88,3 +90,21 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         rest = window_hashes(words, half + 1, seed + 1)
         return mix64(left[:n] * np.uint64(0xD6E8FEB86659FD93) + (rest[half:half + n] ^ (rest[half:half + n] >> np.uint64(31))))
     return mix64(left[:n] * np.uint64(0xD6E8FEB86659FD93) + (left[half:half + n] ^ (left[half:half + n] >> np.uint64(31))))
+
+
+def hot_from(rows: int) -> int:
+    """Rows above which a key of a table of ``rows`` rows is hot: at most ``BROADCAST_ROWS`` keys can be."""
+    return max(HOT_ROWS, rows // BROADCAST_ROWS)
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], limit: int) -> DataFrame:
+    """Rows with the columns of their keys. ``keys`` is a written table of one row a key with its count ``n``.
+
+    Keys of over ``limit`` rows (``hot_from``) are broadcast, so that no task gets all rows of one;
+    so are all keys where they are few. ``rows`` is read twice otherwise.
+    """
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on)
+    hot = F.broadcast(keys.filter(F.col("n") > limit))
+    rest = rows.join(hot.select(on), on, "left_anti").join(keys.filter(F.col("n") <= limit), on)
+    return rows.join(hot, on).unionByName(rest)

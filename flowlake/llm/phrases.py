@@ -9,9 +9,12 @@ doc_id. Looking at every run of 50 words of every document would shuffle them al
 2. A phrase is *confirmed* when two documents have it, compared as text.
 3. Documents get their confirmed phrases. Each Arrow batch is a shard: its phrases are compiled to
    one Aho-Corasick automaton, its documents are streamed through, and every occurrence is located.
-4. Only the runs of 50 words around an occurrence are then compared, by a 64-bit hash, with the
-   smallest doc_id of each found by a window over equal hashes.
+4. Only the different runs of 50 words around an occurrence are then compared, by 96 bits of hash,
+   with the smallest doc_id of each found by a window over equal hashes.
 5. Words under a run whose first document is another are removed.
+
+A run is in as many documents as its own phrase at most. So where a phrase is hot, the runs that go
+by it do not meet in one task: their smallest doc_id comes from partial minima and is joined back.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from flowlake.llm.common import BROADCAST_ROWS, bound_batches, pieces, window_hashes
+from flowlake.llm.common import BROADCAST_ROWS, bound_batches, hot_from, join_counted, pieces, window_hashes
 from flowlake.scratch import materialize
 
 SPAN = 50
@@ -38,6 +41,16 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
+def _smallest(h: np.ndarray, width: int) -> np.ndarray:
+    """Sliding minimum, by doubling."""
+    n = len(h) - width + 1
+    low, size = h, 1
+    while 2 * size <= width:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    return np.minimum(low[:n], low[width - size:width - size + n])
+
+
 def chosen_phrases(words: list[bytes], span: int = SPAN, k: int = PHRASE) -> np.ndarray:
     """Where the phrases of a text begin: the last smallest hash within each run of ``span`` words."""
     h = window_hashes(word_hashes(words), k)
@@ -45,14 +58,8 @@ def chosen_phrases(words: list[bytes], span: int = SPAN, k: int = PHRASE) -> np.
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    # Sliding minimum by doubling: of (hash, place), the place breaks ties by what stands there.
-    low, size = h, 1
-    while 2 * size <= width:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    low = np.minimum(low[:n], low[width - size:width - size + n])
+    low = _smallest(h, width)
     # Every place whose hash is the smallest of some run around it; equal hashes all count.
-    reach = np.zeros(len(h), np.uint64)
     # The largest minimum among the runs that hold a place is its own hash where it is chosen.
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
     high, size = padded, 1
@@ -98,26 +105,37 @@ def located(texts: list[list[bytes]], phrases: list[list[bytes]], k: int = PHRAS
     return out
 
 
+RUNS = "doc_id long, text_key long, place int, hash long, more int, hot boolean"
+
+
+def _runs(words: list[bytes], at: np.ndarray, hot: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
+    """place, hash, more, hot of the different runs that hold a phrase beginning at one of ``at``, each where it comes first."""
+    n, h = len(words) - span + 1, word_hashes(words)
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.maximum(at - (span - k), 0), 1)
+    np.add.at(step, np.minimum(at + 1, n), -1)
+    near = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    whole = window_hashes(h, span)
+    near = near[np.unique(whole[near], return_index=True)[1]]
+    more = (window_hashes(h, span, 1)[near] >> np.uint64(33)).astype(np.int32)
+    own = _smallest(window_hashes(h, k), span - k + 1)[near]
+    return near.astype(np.int32), whole[near].view(np.int64), more, np.isin(own, hot)
+
+
 def _windows(span: int, k: int):
     def shard(rows: pa.RecordBatch) -> pa.RecordBatch:
         cut = [t.encode().split() for t in rows.column("text").to_pylist()]
         found = located(cut, rows.column("phrases").to_pylist(), k)
-        docs, keys, places, hashes = [], [], [], []
+        hot = {p for ps in rows.column("hot").to_pylist() for p in ps}
+        hot = np.array([window_hashes(word_hashes(p.split()), k)[0] for p in hot], np.uint64)
+        parts = []
         for d, key, words, at in zip(rows.column("doc_id").to_pylist(), rows.column("text_key").to_pylist(), cut, found):
-            n = len(words) - span + 1
-            if n <= 0 or not len(at):
-                continue
-            step = np.zeros(n + 1, np.int64)
-            np.add.at(step, np.maximum(at - (span - k), 0), 1)
-            np.add.at(step, np.minimum(at + 1, n), -1)
-            near = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-            docs.append(np.full(len(near), d))
-            keys.append(np.full(len(near), key))
-            places.append(near)
-            hashes.append(window_hashes(word_hashes(words), span)[near].view(np.int64))
-        flat = [np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (docs, keys, places, hashes)]
-        return pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2].astype(np.int32)), pa.array(flat[3])],
-                                          ["doc_id", "text_key", "place", "hash"])
+            if len(words) >= span and len(at):
+                run = _runs(words, at, hot, span, k)
+                parts.append((np.full(len(run[0]), d), np.full(len(run[0]), key), *run))
+        types = (np.int64, np.int64, np.int32, np.int64, np.int32, bool)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, t), *[p[i] for p in parts]]).astype(t)) for i, t in enumerate(types)],
+                                          ["doc_id", "text_key", "place", "hash", "more", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +151,9 @@ def _kept(span: int):
                 removed, digests = [], []
                 for t, places in zip(part.column("text").to_pylist(), part.column("places")):
                     words = t.encode().split()
-                    at = np.sort(np.asarray(places.values, np.int64))
+                    # All places of the runs, of which each came with the first.
+                    runs = window_hashes(word_hashes(words), span)
+                    at = np.flatnonzero(np.isin(runs, runs[np.asarray(places.values, np.int64)]))
                     step = np.zeros(len(words) + 1, np.int64)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + span, -1)
@@ -169,17 +189,22 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, k: int = PHRASE) -> Dat
 
     # Confirm: a phrase of two documents at least.
     own = each.filter("doc_id is not null").select("doc_id", "text_key", F.explode("phrases").alias("phrase"))
-    same = Window.partitionBy("phrase")
-    confirmed = (own.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same))
-                 .filter(F.col("first") < F.col("last")).groupBy("doc_id", "text_key").agg(F.collect_set("phrase").alias("phrases")))
+    same = materialize(own.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+                       .filter(F.col("first") < F.col("last")).select("phrase", "n"), "phrases-same")
+    limit = hot_from(same.agg(F.sum("n")).first()[0] or 0)
+    confirmed = (join_counted(own, same, ["phrase"], limit).groupBy("doc_id", "text_key")
+                 .agg(F.collect_set("phrase").alias("phrases"), F.collect_set(F.when(F.col("n") > limit, F.col("phrase"))).alias("hot")))
     confirmed = materialize(confirmed, "phrases-confirmed")
 
     # Locate in texts that hold one, and compare the runs of words around.
-    runs = _holding(texts.filter("doc_id is not null"),
-                    confirmed).select("doc_id", "text_key", "text", "phrases").mapInArrow(
-        _windows(span, k), "doc_id long, text_key long, place int, hash long")
-    copies = (runs.withColumn("first", F.min("doc_id").over(Window.partitionBy("hash"))).filter(F.col("first") < F.col("doc_id"))
-              .groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")))
+    runs = materialize(_holding(texts.filter("doc_id is not null"), confirmed).select("doc_id", "text_key", "text", "phrases", "hot").mapInArrow(
+        _windows(span, k), RUNS), "phrase-runs")
+    hot, run = runs.filter("hot").drop("hot"), ["hash", "more"]
+    firsts = materialize(hot.groupBy(*run).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+                         .filter(F.col("first") < F.col("last")).drop("last"), "phrase-firsts")
+    both = (runs.filter("not hot").drop("hot").withColumn("first", F.min("doc_id").over(Window.partitionBy(*run)))
+            .unionByName(join_counted(hot, firsts, run, hot_from(firsts.agg(F.sum("n")).first()[0] or 0)).drop("n")))
+    copies = both.filter(F.col("first") < F.col("doc_id")).groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
     copies = materialize(copies, "phrase-copies")
 
     # Remove.

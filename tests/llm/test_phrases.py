@@ -3,9 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from flowlake.llm import phrases
+from flowlake.llm import common, phrases
 from flowlake.llm.phrases import chosen_phrases, located, repeated_passages
 from flowlake.llm.queries import op7_substring_dedup
 from helpers_llm import clashing, given, removed, table, words
@@ -48,6 +49,31 @@ def test_mosaics(spark, mosaics, monkeypatch, broadcast):
     assert got == {d: (len(words(mosaics[d])) - len(kept[d]), h) for d, h in digests(kept).items()}
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 6])
+def test_hot_phrases(spark, mosaics, monkeypatch, broadcast):
+    """Runs that go by a phrase of many documents take the other way, to the same result."""
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    kept = removed(mosaics)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in repeated_passages(table(spark, list(mosaics.items()))).collect()}
+    assert got == {d: (len(words(mosaics[d])) - len(kept[d]), h) for d, h in digests(kept).items()}
+
+
+def test_equal_runs_are_flagged_alike():
+    """A run is hot by its own phrase, whatever stands around it; a run that a text repeats comes once."""
+    rng = random.Random(2)
+    run = [f"r{i}".encode() for i in range(50)]
+    at = int(chosen_phrases(run)[0])
+    own = phrases.window_hashes(phrases.word_hashes(run[at:at + 10]), 10)
+    flags = set()
+    for _ in range(20):
+        text = [f"{rng.randrange(99)}".encode() for _ in range(rng.randrange(40))]
+        place, hashes, _, hot = phrases._runs(text + run + run + text, np.array([len(text) + at, len(text) + 50 + at]), own, 50, 10)
+        flags.add(bool(hot[place.tolist().index(len(text))]))
+        assert len(set(hashes.tolist())) == len(hashes)
+    assert flags == {True}
+
+
 def test_odd_rows(spark):
     run = " ".join(f"é{i}" for i in range(50))
     empty = hashlib.sha256(b"").hexdigest()
