@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,11 +47,3 @@ def _counter(path: str):
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)] if texts else []
     enc = encoder(path)
     return lambda texts: [len(x) // enc.dtype.itemsize for x in enc.encode(texts)]
-
-
-def brute_counts(texts: list[str | None], path: str) -> np.ndarray:
-    """Each text encoded by itself, for tests."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    return np.array([len(t.encode(x or "", add_special_tokens=False).ids) for x in texts])

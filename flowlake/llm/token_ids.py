@@ -14,12 +14,12 @@ Spark's commit keeps them whole when executors are lost.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +33,11 @@ LONGEST_CODE = 16
 BLOCK_IDS = 1 << 16
 EVERY = 256                   # ids between checkpoints
 AT_ONCE = 1 << 20             # ids that one vectorized step handles
+CUT_ERROR = 1e-5              # of all documents by which a range may be off; bounds the summary that finds the cuts
 RANGE_BYTES = 32 << 20        # coded bytes of a range of doc_id
 
 IDS = "doc_id long, n_tokens long, ids binary"
-CODED = "doc_id long, n_tokens long, sum long, bits binary, marks binary"
+CODED = "doc_id long, n_tokens long, sum long, bits binary, marks binary, place int"
 BLOCKS = ("part int, block int, first_id long, n_ids long, doc_ids array<long>, n_tokens array<long>,"
           " bits binary, marks binary")
 DOCS = "part int, block int, at int, doc_id long, offset long, n_tokens long, ids_crc32 long"
@@ -172,8 +173,9 @@ def unpack(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: tupl
     return out
 
 
-def _coded(ids: DataFrame, code: np.ndarray, bits: np.ndarray, dtype: str) -> DataFrame:
-    """Each document's bits and checkpoints; ``sum`` orders documents that share an id."""
+def _coded(ids: DataFrame, code: np.ndarray, bits: np.ndarray, dtype: str, edges: np.ndarray) -> DataFrame:
+    """Each document's bits and checkpoints; ``sum`` orders documents that share an id, ``place`` is
+    the number of edges at or below the id, 0 for a null one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +193,11 @@ def _coded(ids: DataFrame, code: np.ndarray, bits: np.ndarray, dtype: str) -> Da
                 marks = [(at[e - s:e:EVERY] - 8 * f).astype("<i8").tobytes() for s, e, f in zip(sizes, ends, first)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("n_tokens"), pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                     pa.array([data[x:y] for x, y in zip(first, first[1:])], pa.binary()), pa.array(marks, pa.binary())],
-                    ["doc_id", "n_tokens", "sum", "bits", "marks"])
+                     pa.array([data[x:y] for x, y in zip(first, first[1:])], pa.binary()), pa.array(marks, pa.binary()),
+                     pa.array(np.searchsorted(edges, np.asarray(pc.fill_null(part.column("doc_id"), least)), "right").astype(np.int32))],
+                    _names(CODED))
 
+    least = int(np.iinfo(np.int64).min)
     return ids.mapInArrow(run, CODED)
 
 
@@ -242,13 +246,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     spark.createDataFrame(sorted(lengths.items()), "id long, bits int").coalesce(1).write.parquet(f"{path}/code")
     coded_bytes = sum(n * lengths[i] for i, n in counts.items()) // 8
     ranges = max(1, -(-coded_bytes // RANGE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    cuts = sorted(set(int(c) for c in cuts))
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    # Position of the range: cuts at or below the id. Null ids go to the first.
-    place = F.coalesce(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))), F.lit(0))
-    (_coded(ids, code, bits, dtype).withColumn("place", place)
-     .repartitionById(len(cuts) + 1, F.col("place"))
+    cuts = ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], max(0.1 / ranges, CUT_ERROR)) if ranges > 1 else []
+    edges = np.unique(np.array(cuts, np.int64))
+    (_coded(ids, code, bits, dtype, edges)
+     .repartitionById(len(edges) + 1, F.col("place"))
      .sortWithinPartitions("doc_id", "n_tokens", "sum").drop("place")
      .mapInArrow(_blocks, BLOCKS)
      .write.option("compression", "none").parquet(f"{path}/blocks"))
@@ -303,16 +304,6 @@ def _read_blocks(batch: pa.RecordBatch, table: tuple) -> pa.RecordBatch:
          pa.array(sizes), pa.array(crc, pa.int64())], _names(DOCS))
 
 
-def huffman_cost(counts: dict[int, int]) -> int:
-    """Bits of the code without a limit, to compare with."""
-    heap, total = sorted(counts.values()), 0
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        total += a + b
-        heapq.heappush(heap, a + b)
-    return total
-
-
 def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, remembered: int = MEMORY,
                 batch_bytes: int = BATCH) -> DataFrame:
     """Write the files (below the session's shared folder if no path is given) and read them back."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,3 +85,18 @@ def linked(texts: dict[int, str | None], similarity: int = 80) -> dict[int, int]
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
     return {d: root(d) for d in sets}
+
+def huffman_cost(counts: dict[int, int]) -> int:
+    """Bits of the code without a limit, to compare with."""
+    heap, total = sorted(counts.values()), 0
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        total += a + b
+        heapq.heappush(heap, a + b)
+    return total
+
+
+def brute_counts(texts: list[str | None], path: str) -> np.ndarray:
+    """Each text encoded by itself."""
+    t = Tokenizer.from_file(path)
+    return np.array([len(t.encode(x or "", add_special_tokens=False).ids) for x in texts])

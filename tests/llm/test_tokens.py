@@ -13,9 +13,9 @@ from tokenizers import Tokenizer
 
 from flowlake.llm.encode import Encoder
 from flowlake.llm.queries import op4_token_files, op8_token_counts
-from flowlake.llm.token_counts import brute_counts, token_counts
-from flowlake.llm.token_ids import EVERY, canonical, code_lengths, decode_table, huffman_cost, pack, token_files, unpack
-from helpers_llm import clashing, given, table
+from flowlake.llm.token_counts import token_counts
+from flowlake.llm.token_ids import EVERY, canonical, code_lengths, decode_table, pack, token_files, unpack
+from helpers_llm import brute_counts, huffman_cost, clashing, given, table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
