@@ -4,15 +4,17 @@ A candidate is a run of 20 or more letters, digits and base-64 signs. Its encodi
 smallest that holds it: hexadecimal, letters, base 32 or base 36 of either case, letters and digits
 of both cases, or base 64. Three tests ask whether it may be random
 in that encoding: a chi-squared test of uniform symbols, a runs test about the middle of the
-alphabet, and the correlation of neighbours. Random strings pass; ordinary long words fail.
+alphabet, and the correlation of neighbours. Their p-values are combined (Bonferroni), and within
+each band of lengths the Benjamini-Hochberg step throws out what is not random: of the strings
+thrown out, at most a share of ``LOST`` is expected to be random. Ordinary long words fall there.
 Short strings pass too easily, so two more tests ask whether the string is unlike ordinary text:
 fewer repeated symbols than text of that length has, and more changes between small letters,
-capitals and digits. Their p-values are combined (Fisher), and within each band of lengths the
-Benjamini-Hochberg step keeps the share of false discoveries below ``FALSE``.
+capitals and digits. Their p-values are combined (Fisher), and the same step by band of lengths
+keeps the share of false discoveries below ``FALSE``. A secret is what both steps leave.
 
 Candidates of more than ``LONG`` symbols are tested in overlapping blocks that cover all of them,
 and only the parts that random blocks cover are reported: a header or padding does not hide what
-follows it, nor is it reported with it. The battery's bound is shared between the blocks.
+follows it, nor is it reported with it. The battery's p-values are shared between the blocks.
 """
 
 from __future__ import annotations
@@ -51,8 +53,9 @@ ALPHABETS = {
 }
 TEXT_COINCIDENCE = 0.065      # that two letters of a text are the same
 TEXT_CHANGE = 0.05            # that neighbours in a text are of different classes
-RANDOM = 0.001                # the battery rejects randomness below this
+LOST = 0.01                   # share of random strings among those that the battery throws out
 FALSE = 0.01                  # share of false discoveries
+BANDS = (24, 32, 48)          # symbols at which the next band of lengths starts
 LONG = 512                    # longer candidates are tested in blocks of so many symbols
 STEP = LONG // 2              # from block to block
 BINS = 400                    # of a p-value's logarithm, 20 a decade
@@ -94,7 +97,10 @@ def _blocks(found: DataFrame) -> DataFrame:
 
 
 def _tested(found: DataFrame) -> DataFrame:
-    """Blocks of candidates with ``p_random``, their p-value as random strings, and ``p_text``, as text."""
+    """Blocks of candidates with ``p_random``, their p-value as random strings, and ``p_text``, as text.
+
+    ``p_random`` combines the battery's ``p_chi``, ``p_runs`` and ``p_serial``, over all blocks of the candidate.
+    """
     alphabet = F.coalesce(*[F.when(F.col("body").rlike(f"^[{signs}]+$"), signs) for signs in ALPHABETS.values()])
     df = _blocks(found).withColumn("alphabet", alphabet).withColumn("chars", F.split("body", ""))
     df = df.withColumn("x", F.transform("chars", lambda c: (F.position(c, F.col("alphabet")) - 1).cast("double")))
@@ -123,25 +129,43 @@ def _tested(found: DataFrame) -> DataFrame:
     expected, turns = (n - 1) * TEXT_CHANGE, F.col("turns")
     ln_turns = F.when(turns > expected, turns - expected - turns * F.ln(F.try_divide(turns, expected))).otherwise(0.0)
     evidence = F.least(-F.ln(F.greatest(p_repeat, F.lit(1e-9))) - ln_turns, F.lit(60.0))
-    return (df.withColumn("p_random", F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)))
+    return (df.withColumn("p_chi", p_chi).withColumn("p_runs", p_runs).withColumn("p_serial", p_serial)
+            .withColumn("p_random", F.least(F.lit(1.0), 3 * F.col("blocks") * F.least("p_chi", "p_runs", "p_serial")))
             .withColumn("p_text", F.exp(-evidence) * (1 + evidence)))
 
 
+def _bin(p: str) -> Column:
+    """A p-value's place in the histogram; the least ones share the last bin."""
+    return F.least(F.floor(-F.log10(F.greatest(F.col(p), F.lit(1e-30))) * 20), F.lit(BINS)).cast("int")
+
+
+def _cuts(tested: DataFrame, bin: str, share: float, cut: str) -> DataFrame:
+    """(band, cut): the bin from which the Benjamini-Hochberg step rejects; bands without one are left out.
+
+    By a histogram of at most 4 bands of BINS + 1 bins, whatever the input; a bin counts as its largest p-value.
+    """
+    above = Window.partitionBy("band").orderBy(F.desc(bin))
+    counts = tested.groupBy("band", bin).agg(F.count("*").alias("n"))
+    return (counts.withColumn("at_least", F.sum("n").over(above)).withColumn("all", F.sum("n").over(Window.partitionBy("band")))
+            .filter(F.pow(F.lit(10.0), -F.col(bin) / 20) * F.col("all") <= F.lit(share) * F.col("at_least"))
+            .groupBy("band").agg(F.min(bin).alias(cut)))
+
+
 def random_strings(found: DataFrame) -> DataFrame:
     """(row, doc_id, kind, whole, start, stop, p_random, p_text, random) of the blocks of candidates among ``found``."""
-    band = (F.when(F.col("n") < 24, 0).when(F.col("n") < 32, 1).when(F.col("n") < 48, 2).otherwise(3))
+    band = F.lit(0)
+    for i, least in enumerate(BANDS):
+        band = F.when(F.col("n") >= least, i + 1).otherwise(band)
     tested = (_tested(found.filter(F.col("kind") == NAMES.index("random"))).withColumn("band", band)
-              .withColumn("bin", F.least(F.floor(-F.log10("p_text") * 20), F.lit(BINS)).cast("int")))
-    # Benjamini-Hochberg by a histogram: at most 4 bands of BINS + 1 bins, whatever the input.
-    counts = tested.groupBy("band", "bin").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("band").orderBy(F.desc("bin"))
-    cuts = (counts.withColumn("at_least", F.sum("n").over(above)).withColumn("all", F.sum("n").over(Window.partitionBy("band")))
-            .filter(F.pow(F.lit(10.0), -F.col("bin") / 20) * F.col("all") <= F.lit(FALSE) * F.col("at_least"))
-            .groupBy("band").agg(F.min("bin").alias("cut")))
-    judged = tested.join(F.broadcast(cuts), "band", "left")
-    # All blocks of a random candidate pass together as often as the one of a short candidate.
-    random = (F.col("bin") >= F.col("cut")) & (F.col("p_random") * F.col("blocks") >= RANDOM)
-    return judged.select("row", "doc_id", "kind", "whole", "start", "stop", "p_random", "p_text", F.coalesce(random, F.lit(False)).alias("random"))
+              .withColumn("random_bin", _bin("p_random")).withColumn("text_bin", _bin("p_text"))
+              .select("row", "doc_id", "kind", "whole", "start", "stop", "p_random", "p_text", "band", "random_bin", "text_bin"))
+    # Tested once: the histograms and the verdicts read the same rows.
+    tested = materialize(tested, "secret-tests")
+    judged = (tested.join(F.broadcast(_cuts(tested, "random_bin", LOST, "random_cut")), "band", "left")
+              .join(F.broadcast(_cuts(tested, "text_bin", FALSE, "text_cut")), "band", "left"))
+    ordered = F.coalesce(F.col("random_bin") >= F.col("random_cut"), F.lit(False))
+    unlike_text = F.coalesce(F.col("text_bin") >= F.col("text_cut"), F.lit(False))
+    return judged.select("row", "doc_id", "kind", "whole", "start", "stop", "p_random", "p_text", (unlike_text & ~ordered).alias("random"))
 
 
 def random_spans(found: DataFrame) -> DataFrame:
@@ -159,8 +183,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Base kinds: named assignments of 12 or more signs, access keys of 18 or more, hexadecimal runs
-    of 16 or more. Added, kind ``random``: candidates, or parts of long ones, that pass the battery
-    and the false-discovery step. Spans are kind:start:stop in code points, by start, then kind. A null or empty text has
+    of 16 or more. Added, kind ``random``: candidates, or parts of long ones, that both
+    false-discovery steps leave. Spans are kind:start:stop in code points, by start, then kind. A null or empty text has
     no span. Repeated rows are reported each. Other columns are ignored.
     """
     found = materialize(find(docs, KINDS), "secret-candidates")

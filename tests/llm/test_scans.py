@@ -1,16 +1,18 @@
 """Secrets and personal data against plain regular expressions."""
 
 import hashlib
+import math
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowlake.llm.pii import luhn, mod97, personal_data
 from flowlake.llm.queries import op5_secret_scan, op10_personal_data
-from flowlake.llm.secrets import KINDS, _blocks, secrets
+from flowlake.llm.secrets import ALPHABETS, BANDS, FALSE, KINDS, LOST, _blocks, _tested, random_strings, secrets
 from flowlake.llm.spans import find
 from helpers_llm import clashing, given, table
 
@@ -201,3 +203,74 @@ def test_checksums(spark):
     rows = [("4111111111111111", "GB82 WEST 1234 5698 7654 32"), ("4111111111111112", "GB83WEST12345698765432")]
     got = spark.createDataFrame(rows, "a string, b string").select(luhn(F.col("a")), mod97(F.col("b")) == 1).collect()
     assert [tuple(r) for r in got] == [(True, True), (False, False)]
+
+
+def normal(z):
+    return 1 / (1 + math.exp(min(700.0, -(1.5976 * z + 0.07056 * z ** 3))))
+
+
+def battery(body):
+    """The battery's p-values and the one against text of one candidate, by plain sums."""
+    signs = next(a for a in ALPHABETS.values() if set(body) <= set(a))
+    x, n, k = np.array([signs.index(c) for c in body], float), len(body), len(signs)
+    counts = np.array([body.count(c) for c in set(body)], float)
+    chi, free = max(k / n * (counts ** 2).sum() - n, 0.0), k - 1
+    p_chi = 1 - normal((math.cbrt(chi / free) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+    high = x >= k / 2
+    n1 = high.sum()
+    mean = 2 * n1 * (n - n1) / n
+    sd = math.sqrt(max(mean * (mean - 1) / (n - 1), 0.0))
+    two_sided = lambda z: min(1.0, 2 * normal(-abs(z)))
+    p_runs = two_sided(((high[1:] != high[:-1]).sum() - mean) / sd) if sd > 0 else 0.0
+    off = x - x.mean()
+    p_serial = two_sided((off[1:] * off[:-1]).sum() / (off ** 2).sum() * math.sqrt(n)) if (off ** 2).sum() > 0 else 0.0
+    pairs = n * (n - 1)
+    p_repeat = normal(((counts ** 2).sum() - n - pairs * 0.065) / math.sqrt(pairs * 2 * 0.065 * 0.935))
+    classes = [0 if c in DIGITS else 1 if c in LOWER else 2 if c in LOWER.upper() else 3 for c in body]
+    turns, expected = sum(a != b for a, b in zip(classes, classes[1:])), (n - 1) * 0.05
+    ln_turns = turns - expected - turns * math.log(turns / expected) if turns > expected else 0.0
+    evidence = min(-math.log(max(p_repeat, 1e-9)) - ln_turns, 60.0)
+    return p_chi, p_runs, p_serial, math.exp(-evidence) * (1 + evidence)
+
+
+def rejected(p, share):
+    """Benjamini-Hochberg over p-values that are first rounded up to a twentieth of a decade."""
+    p = np.array([10.0 ** (-min(math.floor(-math.log10(max(v, 1e-30)) * 20), 400) / 20) for v in p])
+    cut = max([v for v in p if v * len(p) <= share * (p <= v).sum()], default=-1.0)
+    return p <= cut
+
+
+def test_battery_and_steps_by_plain_sums(spark):
+    """Every p-value by numpy, and the verdicts by plain Benjamini-Hochberg steps in each band of lengths."""
+    rng = random.Random(15)
+    both = LOWER + LOWER.upper() + DIGITS
+    alphabets = [DIGITS + "abcdef", LOWER, LOWER + "234567", LOWER + DIGITS, both, both + "+/"]
+    bodies = ["".join(rng.choices(a, k=rng.randrange(20, 90))) for a in alphabets for _ in range(40)]
+    bodies += ["".join(rng.choices(["keit", "lich", "ung", "Heit", "schaft", "ver", "ein", "path/"], k=12)) for _ in range(150)]
+    bodies += ["0" * 30, "ab" * 20, LOWER, "12345678901234567890123"]
+    found = find(table(spark, [(i, f"see {b} there") for i, b in enumerate(bodies)]), KINDS).filter("kind = 3")
+    tested = {r.doc_id: r for r in _tested(found).collect()}
+    assert sorted(tested) == list(range(len(bodies)))
+    plain = [battery(b) for b in bodies]
+    for i, p in enumerate(plain):
+        r = tested[i]
+        assert (r.p_chi, r.p_runs, r.p_serial, r.p_text) == pytest.approx(p, rel=1e-6, abs=1e-12), bodies[i]
+        assert r.p_random == pytest.approx(min(1.0, 3 * min(p[:3])), rel=1e-6, abs=1e-12)
+    verdict = {r.doc_id: r.random for r in random_strings(found).collect()}
+    band = np.array([sum(len(b) >= least for least in BANDS) for b in bodies])
+    both_steps = np.zeros(2, int)
+    for k in range(len(BANDS) + 1):
+        rows = np.flatnonzero(band == k)
+        ordered = rejected([tested[i].p_random for i in rows], LOST)
+        unlike_text = rejected([tested[i].p_text for i in rows], FALSE)
+        assert [verdict[i] for i in rows] == list(unlike_text & ~ordered)
+        both_steps += ordered.sum(), unlike_text.sum()
+    assert both_steps.min() > 50
+
+
+def test_the_battery_rejects_by_what_else_is_there(spark):
+    """The bound on randomness follows the band's p-values: among random strings alone, hardly one is thrown out."""
+    rng = random.Random(16)
+    both = LOWER + LOWER.upper() + DIGITS
+    found = find(table(spark, [(i, "".join(rng.choices(both, k=60))) for i in range(2000)]), KINDS).filter("kind = 3")
+    assert random_strings(found).filter("random").count() >= 1990
