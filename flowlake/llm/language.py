@@ -3,7 +3,10 @@
 Texts become vectors of hashed character pairs and triples. Languages whose mean vectors lie close
 together are joined to families. One linear support vector machine per family tells it from the rest;
 within a family one machine per pair of languages votes. Machines are fitted on a bounded sample
-of labelled documents; every document is predicted, from its whole text alone.
+of labelled documents, a family a task; every document is predicted, from its whole text alone.
+Every language is learned, however many there are: the driver gets one mean vector a language and
+the machines, at most one a family and (FAMILY - 1) / 2 a language, and no document of the sample
+but the ``REST`` ones that stand for the other families.
 """
 
 from __future__ import annotations
@@ -12,18 +15,21 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import bound_batches, pieces
+from flowlake.llm.common import BROADCAST_ROWS, bound_batches, pieces
+from flowlake.scratch import materialize
 
 BITS = 12
 DIM = 2 << BITS               # pairs and triples, each hashed to 4096 places
 PER_LANGUAGE = 400            # documents of a language in the sample, about
-LANGUAGES = 200               # languages that are learned at most, the most frequent
+REST = 4000                   # documents, about, that stand for all other families beside a family's own
 CLOSE = 0.45                  # mean cosine of mean vectors from which families are joined
+FAMILY = 16                   # languages of a family at most; further close ones are families beside it
 EPOCHS = 30
 LAMBDA = 1e-4
 LETTER = regex.compile(r"\p{L}")
@@ -48,90 +54,100 @@ def svm(x: np.ndarray, y: np.ndarray, seed: int = 0) -> np.ndarray:
 
     Classes weigh the same, however many rows each has.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y)
-    w, mean, step = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+    w, mean, step = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
     random = np.random.RandomState(seed)
     for epoch in range(EPOCHS):
         for rows in np.array_split(random.permutation(len(y)), max(1, len(y) // 32)):
             step += 1
-            wrong = rows[y[rows] * (x[rows] @ w) < 1]
+            batch = x[rows].astype(np.float64)
+            wrong = y[rows] * (batch @ w[:-1] + w[-1]) < 1
             rate = 1 / (LAMBDA * (step + 100))
             w *= 1 - rate * LAMBDA
-            if len(wrong):
-                w += rate * ((share[wrong] * y[wrong]) @ x[wrong]) / len(rows)
+            if wrong.any():
+                push = (share[rows] * y[rows])[wrong]
+                w[:-1] += rate * (push @ batch[wrong]) / len(rows)
+                w[-1] += rate * push.sum() / len(rows)
             size = np.sqrt(LAMBDA) * np.linalg.norm(w)
             w /= max(size, 1.0)
             if epoch >= EPOCHS // 2:
                 mean += w
-    return mean / max(np.linalg.norm(mean), 1e-12)
+    return (mean / max(np.linalg.norm(mean), 1e-12)).astype(np.float32)
+
+
+def families(means: np.ndarray) -> list[int]:
+    """Number of each language's family, from the languages' mean vectors in order of their names.
+
+    The two closest families by the mean cosine between their languages are joined, as long as it is
+    ``CLOSE`` or more and they have ``FAMILY`` languages at most. Ties go to the first by name.
+    """
+    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+    total, size = (unit @ unit.T).astype(np.float64), np.ones(len(unit))
+    of = np.arange(len(unit))
+    while len(unit) > 1:
+        near = np.where(size[:, None] + size <= FAMILY, total / np.outer(size, size), -np.inf)
+        near[np.tril_indices(len(size))] = -np.inf
+        a, b = np.unravel_index(near.argmax(), near.shape)
+        if near[a, b] < CLOSE:
+            break
+        total[a] += total[b]
+        total[:, a] += total[:, b]
+        size[a] += size[b]
+        total, size = np.delete(np.delete(total, b, 0), b, 1), np.delete(size, b)
+        of = np.where(of == b, a, of - (of > b))
+    return of.tolist()
 
 
 class Model:
-    """Families and machines; ``weights`` has a column for each machine."""
-
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        self.names = sorted(set(langs))
-        at = np.array([self.names.index(v) for v in langs], np.int64)
-        means = np.stack([x[at == i].mean(axis=0) for i in range(len(self.names))]) if self.names else np.zeros((0, DIM))
-        means = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
-        self.family = self._families(means @ means.T)
-        self.families = sorted(set(self.family))
-        columns, of = [], np.array(self.family, np.int64)
-        if len(self.families) > 1:
-            columns += [svm(x, np.where(of[at] == f, 1.0, -1.0)) for f in self.families]
-        self.pairs = {}
-        for a, b in combinations(range(len(self.names)), 2):
-            if self.family[a] == self.family[b]:
-                both = (at == a) | (at == b)
-                self.pairs[a, b] = len(columns)
-                columns.append(svm(x[both], np.where(at[both] == a, 1.0, -1.0)))
-        self.weights = np.stack(columns, axis=1).astype(np.float32) if columns else np.zeros((DIM + 1, 0), np.float32)
-
-    @staticmethod
-    def _families(close: np.ndarray) -> list[int]:
-        """Number of each language's family: the two closest families by the mean cosine between their
-        languages are joined, as long as it is ``CLOSE`` or more. Ties go to the first by name."""
-        groups = [[i] for i in range(len(close))]
-        while len(groups) > 1:
-            near, a, b = max((float(close[np.ix_(groups[a], groups[b])].mean()), -a, -b) for a, b in combinations(range(len(groups)), 2))
-            if near < CLOSE:
-                break
-            groups[-a] = groups[-a] + groups.pop(-b)
-        family = {i: k for k, g in enumerate(groups) for i in g}
-        return [family[i] for i in range(len(close))]
+    """Names of languages, the family of each, one machine a family, and those of each family's pairs.
+
+    ``machines`` has a row for each: (family, a, b, weights), with a = b = -1 for the family's own.
+    """
+
+    def __init__(self, names: list[str], family: list[int], machines: list[tuple[int, int, int, np.ndarray]]):
+        self.names, self.family = names, family
+        stack = lambda ws: np.stack(ws, axis=1) if ws else np.zeros((DIM + 1, 0), np.float32)
+        machines = sorted(machines, key=lambda m: m[:3])
+        self.apart = stack([w for _, a, _, w in machines if a < 0])
+        self.members, self.pairs, self.within = [], [], []
+        for f in range(max(family, default=-1) + 1):
+            members = [i for i, g in enumerate(family) if g == f]
+            own = [(members.index(a), members.index(b), w) for g, a, b, w in machines if g == f and a >= 0]
+            self.members.append(np.array(members))
+            self.pairs.append(np.array([(a, b) for a, b, _ in own], np.int64).reshape(-1, 2))
+            self.within.append(stack([w for _, _, w in own]))
+
+    def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language and narrowest decision of each vector: its family first, then that family's pairs alone."""
+        chosen, sure = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+        if len(self.members) > 1:
+            margins = x @ self.apart[:-1] + self.apart[-1]
+            ranked = np.sort(margins, axis=1)
+            chosen, sure = margins.argmax(axis=1), (ranked[:, -1] - ranked[:, -2]).astype(np.float64)
+        lang = np.zeros(len(x), np.int64)
+        for f in np.unique(chosen):
+            rows, members, pairs = np.flatnonzero(chosen == f), self.members[f], self.pairs[f]
+            margins = x[rows] @ self.within[f][:-1] + self.within[f][-1]
+            sides = np.stack([pairs == i for i in range(len(members))])
+            first, second = sides[:, :, 0].T, sides[:, :, 1].T
+            lean = 1e-3 * np.tanh(margins)
+            votes = ((margins >= 0) + lean) @ first + ((margins < 0) - lean) @ second
+            best = votes.argmax(axis=1)
+            lang[rows] = members[best]
+            own = np.where((first | second)[:, best].T, np.abs(margins), np.inf)
+            sure[rows] = np.minimum(sure[rows], own.min(axis=1, initial=np.inf))
+        return lang, sure
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores from 0 to 1: a logistic measure of the narrowest decision."""
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-        if not known or not self.names:
-            return lang, score
-        sure = np.full(len(known), np.inf)
-        margins = np.zeros((len(known), self.weights.shape[1]), np.float32)
-        for a in range(0, len(known), 256):
-            x = features([texts[i] for i in known[a:a + 256]])
-            margins[a:a + 256] = x @ self.weights[:-1] + self.weights[-1]
-        chosen = np.zeros(len(known), np.int64)
-        if len(self.families) > 1:
-            ranked = np.sort(margins[:, :len(self.families)], axis=1)
-            chosen = margins[:, :len(self.families)].argmax(axis=1)
-            sure = ranked[:, -1] - ranked[:, -2]
-        for k, f in enumerate(self.families):
-            rows = np.flatnonzero(chosen == k)
-            members = [i for i, g in enumerate(self.family) if g == f]
-            votes = np.zeros((len(rows), len(self.names)))
-            for (a, b), c in self.pairs.items():
-                if self.family[a] == f:
-                    m = margins[rows, c]
-                    votes[:, a] += (m >= 0) + 1e-3 * np.tanh(m)
-                    votes[:, b] += (m < 0) - 1e-3 * np.tanh(m)
-            best = np.array(members)[votes[:, members].argmax(axis=1)] if len(rows) else np.empty(0, np.int64)
-            for r, i in zip(rows, best):
-                lang[known[r]] = self.names[i]
-                own = [abs(float(margins[r, c])) for (a, b), c in self.pairs.items() if i in (a, b)]
-                narrow = min([float(sure[r]), *own])
-                score[known[r]] = float(1 / (1 + np.exp(-8 * narrow))) if np.isfinite(narrow) else 1.0
+        for a in range(0, len(known) if self.names else 0, 256):
+            part = known[a:a + 256]
+            best, narrow = self.decide(features([texts[i] for i in part]))
+            for i, at, sure in zip(part, best, narrow):
+                lang[i] = self.names[at]
+                score[i] = float(1 / (1 + np.exp(-8 * sure)))
         return lang, score
 
 
@@ -140,18 +156,22 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Fit on about ``per_language`` documents of each language that are not held out.
+def _share(seed: int, share: Column | float) -> Column:
+    """Whether a row is among this share of rows, by a hash of its doc_id."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) < F.lit(1 << 52) * share
+
 
-    The sample goes by a hash of doc_id; with ``languages`` it bounds what the driver gets.
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(doc_id, lang, x): vectors of about ``per_language`` labelled documents of each language, written.
+
+    Documents that are held out, or without a letter, are never among them. Repeated rows count once,
+    so the bound holds for a doc_id that fills the table, too.
     """
-    own = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, min(1.0, per_language / r.n)).otherwise(share)
-    sample = own.filter(F.pmod(F.xxhash64(F.lit(97), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    sizes = materialize(own.groupBy("lang").agg(F.count("*").alias("lang_rows")), "language-sizes")
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+    chosen = own.join(few, "lang").filter(_share(97, F.least(F.lit(1.0), per_language / F.col("lang_rows"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +180,54 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
                                               pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = sorted(sample.mapInArrow(run, "doc_id long, lang string, x binary").collect())
-    x = np.stack([np.frombuffer(bytes(r.x), np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIM), np.float32)
-    return Model(x, [r.lang for r in rows])
+    vectors = chosen.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, x binary")
+    return materialize(vectors.distinct(), "language-sample")
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.stack([np.frombuffer(bytes(v), np.float16) for v in vectors]) if len(vectors) else np.zeros((0, DIM), np.float16)
+
+
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, rest: int = REST) -> Model:
+    """Fit on ``sample(docs, per_language)``: a mean a language, then the machines of each family in a task.
+
+    A task holds the sample of a family's languages (``FAMILY`` at most) and ``rest`` documents, about,
+    taken evenly from all languages. The order of rows changes nothing.
+    """
+    spark = docs.sparkSession
+    vectors = sample(docs, per_language)
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(rows.sort_values(["doc_id", "x"])["x"]).astype(np.float32).mean(axis=0)
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "x": [x.tobytes()]})
+
+    means = sorted(vectors.groupBy("lang").applyInPandas(mean, "lang string, x binary").collect())
+    names = [r.lang for r in means]
+    if not names:
+        return Model([], [], [])
+    family = families(np.stack([np.frombuffer(bytes(r.x), np.float32) for r in means]))
+    number = {g: i for i, g in enumerate(names)}
+    others = sorted(vectors.filter(_share(98, min(1.0, rest / (len(names) * per_language)))).collect()) if max(family) else []
+    beside = spark.sparkContext.broadcast((np.array([r.doc_id for r in others], np.int64), np.array([family[number[r.lang]] for r in others], np.int64),
+                                           _matrix([r.x for r in others])))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "at", "x"])
+        f, at, x = int(rows["family"].iloc[0]), rows["at"].to_numpy(), _matrix(rows["x"])
+        out = []
+        ids, of, far = beside.value
+        if len(ids):
+            order = np.argsort(np.concatenate([rows["doc_id"].to_numpy(), ids[of != f]]), kind="stable")
+            y = np.concatenate([np.ones(len(x)), -np.ones((of != f).sum())])[order]
+            out.append((f, -1, -1, svm(np.concatenate([x, far[of != f]])[order], y).tobytes()))
+        for a, b in combinations(np.unique(at).tolist(), 2):
+            both = np.flatnonzero((at == a) | (at == b))
+            out.append((f, a, b, svm(x[both], np.where(at[both] == a, 1.0, -1.0)).tobytes()))
+        return pd.DataFrame(out, columns=["family", "a", "b", "w"])
+
+    known = spark.createDataFrame([(g, i, family[i]) for g, i in number.items()], "lang string, at int, family int")
+    machines = vectors.join(known, "lang").groupBy("family").applyInPandas(fit, "family int, a int, b int, w binary").collect()
+    return Model(names, family, [(r.family, r.a, r.b, np.frombuffer(bytes(r.w), np.float32)) for r in machines])
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -5,8 +5,7 @@ import zlib
 
 import numpy as np
 
-from flowlake.llm import language
-from flowlake.llm.language import Model, features, learn, languages
+from flowlake.llm.language import CLOSE, FAMILY, Model, families, features, languages, learn, sample
 from flowlake.llm.queries import op9_language
 from helpers_llm import clashing, given, table
 
@@ -70,18 +69,77 @@ def test_odd_rows(spark):
 
 
 def test_sample_is_bounded(spark):
-    docs = table(spark, corpus())
-    seen = []
-    original = language.Model
-    try:
-        language.Model = lambda x, langs: seen.append(len(langs)) or original(x, langs)
-        learn(docs, per_language=20)
-    finally:
-        language.Model = original
-    assert 20 < seen[0] < 120
+    assert 20 < sample(table(spark, corpus()), per_language=20).count() < 120
+    # One document repeated over and over is one row of it.
+    assert sample(table(spark, [(5, "kalo mi", "aa")] * 3000)).count() <= 1
 
 
 def test_no_families():
     x = features(["abc", "abd"])
     assert np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-3)
-    assert Model(np.zeros((0, language.DIM), np.float32), []).predict(["abc", None]) == (["und", "und"], [0.0, 0.0])
+    assert Model([], [], []).predict(["abc", None]) == (["und", "und"], [0.0, 0.0])
+    assert families(np.zeros((0, 4))) == [] and families(np.ones((1, 4))) == [0]
+
+
+def plain_families(means):
+    """Families by a plain loop over all pairs of groups."""
+    unit = means / np.linalg.norm(means, axis=1, keepdims=True)
+    groups = [[i] for i in range(len(unit))]
+    while True:
+        near = [(float(np.mean([unit[i] @ unit[j] for i in a for j in b])), -k, -m)
+                for k, a in enumerate(groups) for m, b in enumerate(groups) if k < m and len(a) + len(b) <= FAMILY]
+        if not near or max(near)[0] < CLOSE:
+            return groups
+        _, k, m = max(near)
+        groups[-k] = groups[-k] + groups.pop(-m)
+
+
+def test_families_by_a_plain_loop():
+    rng = np.random.RandomState(3)
+    for spread in (0.2, 1.0, 2.0):
+        means = np.abs(np.repeat(rng.randn(4, 12), 9, axis=0) * 2 + spread * rng.randn(36, 12))
+        got = families(means)
+        assert sorted(sorted(i for i in range(36) if got[i] == f) for f in set(got)) == sorted(sorted(g) for g in plain_families(means))
+        assert sorted(set(got)) == list(range(len(set(got)))) and max(np.bincount(got)) <= FAMILY
+
+
+def plain_decision(model, x):
+    """Language and narrowest decision of one vector, machine by machine."""
+    margin = lambda w: float(x @ w[:-1] + w[-1])
+    narrow, f = [], 0
+    if len(model.members) > 1:
+        apart = [margin(model.apart[:, k]) for k in range(model.apart.shape[1])]
+        f = apart.index(max(apart))
+        narrow.append(sorted(apart)[-1] - sorted(apart)[-2])
+    votes, part = {i: 0.0 for i in model.members[f]}, {}
+    for (a, b), w in zip(model.pairs[f], model.within[f].T):
+        a, b, m = model.members[f][a], model.members[f][b], margin(w)
+        votes[a] += (m >= 0) + 1e-3 * np.tanh(m)
+        votes[b] += (m < 0) - 1e-3 * np.tanh(m)
+        part[a, b] = abs(m)
+    best = max(votes, key=votes.get)
+    return best, min(narrow + [v for pair, v in part.items() if best in pair])
+
+
+def test_250_languages(spark):
+    """Every language is learned: 50 groups of five that share three of four syllables."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    syllable = lambda: "".join(rng.choices(letters, k=3))
+    stock = {}
+    for g in range(50):
+        common = [syllable() for _ in range(3)]
+        stock.update({f"g{g:02}{v}": [*common, syllable()] for v in "abcde"})
+    rows = [(len(stock) * k + i, " ".join("".join(rng.choices(stock[lang], k=3)) for _ in range(60)), lang)
+            for k in range(12) for i, lang in enumerate(sorted(stock))]
+    docs = table(spark, rows)
+    model = learn(docs, per_language=6)
+    assert model.names == sorted(stock) and len(model.members) < 150
+    assert sum(len(p) for p in model.pairs) == sum(len(m) * (len(m) - 1) // 2 for m in model.members) > 100
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    lang, score = model.predict([t for _, t, _ in held])
+    right = [g == r[2] for g, r in zip(lang, held)]
+    assert sum(right) / len(held) > 0.95 and len(set(lang)) > 200
+    for (_, text, _), g, s in list(zip(held, lang, score))[:60]:
+        best, narrow = plain_decision(model, features([text])[0])
+        assert g == model.names[best] and abs(s - 1 / (1 + np.exp(-8 * narrow))) < 1e-4
