@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.functions import fixed
@@ -28,8 +28,7 @@ def coerce_features(df: DataFrame) -> DataFrame:
 def drop_incomplete(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """P8, training policy: rows with any missing or infinite feature go.
 
-    ``cleaning_report`` counts them. (A row observation would do it in the same pass, but
-    once one has run, Spark 4.1 fails to ship some MLlib models of that session.)
+    ``cleaning_report`` counts them; ``write_complete`` does both in one pass.
     """
     return clean_columns(df, features).dropna("any", subset=list(features))
 
@@ -78,8 +77,18 @@ def column_variance(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return _long(df, features, {"variance": lambda f: F.var_samp(F.col(f).cast("double"))})
 
 
+def _constant(value: Column) -> Column:
+    """Whether all of two or more values are one finite number.
+
+    That is a variance of zero, but exact: variances of parts of unequal size are merged with
+    rounding, and a constant can come out as 1e-31 or as 0, depending on which part ends first.
+    """
+    value = value.cast("double")
+    return (F.count(value) >= 2) & (F.min(value) == F.max(value)) & (F.abs(F.max(value)) < F.lit(float("inf")))
+
+
 def zero_variance_columns(df: DataFrame, features: Sequence[str]) -> list[str]:
-    rows = column_variance(df, features).filter(F.col("variance") == 0).orderBy("ord").collect()
+    rows = _long(df, features, {"constant": lambda f: _constant(F.col(f))}).filter("constant").orderBy("ord").collect()
     return [r["feature"] for r in rows]
 
 
@@ -88,24 +97,52 @@ def drop_zero_variance(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.drop(*zero_variance_columns(df, features))
 
 
-def cleaning_report(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows dropped and remaining, columns dropped and remaining, in one row."""
-    cleaned = clean_columns(df, features)
+def _report_stats(features: Sequence[str]) -> list[Column]:
+    """Row counts, and which features are constant in the complete rows, as aggregates of one pass."""
     missing = _any_missing(features)
-    # Variances of the complete rows come out of the same pass as the row counts.
-    stats = cleaned.agg(
-        F.count("*").alias("rows_in"), F.count_if(missing).alias("dropped_rows"),
-        F.array(*[F.var_samp(F.when(~missing, F.col(f).cast("double"))) for f in features])
-        .alias("_variances"))
-    names = F.array(*[F.lit(f) for f in features])
-    constant = F.filter(F.arrays_zip(names.alias("f"), F.col("_variances").alias("v")),
-                        lambda p: p["v"] == 0)
+    return [F.count(F.lit(1)).alias("rows_in"), F.count_if(missing).alias("dropped_rows"),
+            *[_constant(F.when(~missing, F.col(f))).alias(f"_constant_{i}") for i, f in enumerate(features)]]
+
+
+def _report(stats: DataFrame, features: Sequence[str]) -> DataFrame:
+    constant = F.array_compact(F.array(*[F.when(F.col(f"_constant_{i}"), F.lit(f)) for i, f in enumerate(features)]))
     return stats.select(
         "rows_in", "dropped_rows", (F.col("rows_in") - F.col("dropped_rows")).alias("remaining_rows"),
-        F.array_join(F.transform(constant, lambda p: p["f"]), ",").alias("dropped_columns"),
+        F.array_join(constant, ",").alias("dropped_columns"),
         (F.lit(len(features)) - F.size(constant)).alias("remaining_features"))
 
 
+def cleaning_report(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows dropped and remaining, columns dropped and remaining, in one row."""
+    return _report(clean_columns(df, features).agg(*_report_stats(features)), features)
+
+
+def write_complete(spark: SparkSession, read: Callable[[SparkSession], DataFrame],
+                   features: Sequence[str], path: str) -> tuple[DataFrame, DataFrame]:
+    """P8 and D7 in one pass: (complete rows, now at ``path``; the cleaning report of that write).
+
+    ``read`` builds the table in the session it is given. That is one of its own, as Spark 4.1 fails
+    to ship MLlib models that keep a training summary in a session where an observation has run.
+    The counts are those of the tasks that wrote the files: the observation stands in the last
+    stage, where a task that is run again after a lost executor counts once. An empty table
+    gives a report of zeros.
+    """
+    own = spark.newSession()
+    # Settings of the session that were made while it ran do not pass to a new one by themselves.
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    seen = Observation()
+    df = clean_columns(read(own), features).observe(seen, *_report_stats(features))
+    df.dropna("any", subset=list(features)).write.mode("overwrite").parquet(path)
+    got = seen.get
+    row = [got.get("rows_in", 0), got.get("dropped_rows", 0),
+           *[got.get(f"_constant_{i}") for i in range(len(features))]]
+    schema = "rows_in long, dropped_rows long" + "".join(f", _constant_{i} boolean" for i in range(len(features)))
+    stats = spark.createDataFrame([tuple(row)], schema)
+    return spark.read.schema(df.schema).parquet(path), _report(stats, features)
+
+
 def fit_scaler(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean and population deviation per feature, in column order, one pass."""
     return _long(train, features, {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowlake.functions.numeric import clean_columns, coerce_columns
 from flowlake.operators import models, quality, sampling
 from flowlake.queries.base import FEATURES, MATRIX_SQL, matrix, query
+from flowlake.scratch import scratch_path
 
 ROW = ["l_orderkey", "l_partkey", "l_linenumber", "price"]
 KEY = ["key_text"]
@@ -102,6 +103,21 @@ def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cleaning_report(matrix(spark, sf_dir), FEATURES)
 
 
+@query("p8_write_complete", f"""WITH {MATRIX_SQL}
+SELECT (SELECT count(*) FROM matrix) AS rows_in,
+       (SELECT count(*) FROM matrix) - count(*) AS dropped_rows, count(*) AS remaining_rows,
+       'bwd_urg_flags' AS dropped_columns, CAST(6 AS INTEGER) AS remaining_features,
+       count(*) AS written_rows, CAST(sum(l_orderkey) AS BIGINT) AS written_orders,
+       round(sum(unit_price), 2) AS written_prices FROM clean""")
+def p8_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report that the write observed, beside what was written."""
+    cleaned, report = quality.write_complete(
+        spark, lambda own: matrix(own, sf_dir), FEATURES, scratch_path(spark, "complete"))
+    written = cleaned.agg(F.count("*").alias("written_rows"), F.sum("l_orderkey").alias("written_orders"),
+                          F.round(F.sum("unit_price"), 2).alias("written_prices"))
+    return report.join(F.broadcast(written), F.lit(True))
+
+
 @query("d8_fit_scaler", f"""WITH {MATRIX_SQL}
 {_per_feature("SELECT CAST({i} AS INTEGER) AS ord, '{f}' AS feature, round(avg({f}), 6) AS mean, round(stddev_pop({f}), 6) AS std_pop FROM clean")}""")
 def d8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,10 @@
 import math
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import coerce_columns
@@ -90,3 +94,53 @@ def test_feature_dictionary(spark):
     assert quality.feature_dictionary(spark).count() == 16
     assert quality.drop_non_features(spark.createDataFrame([("a", 1.0, 1)], "src_ip STRING, x DOUBLE, label INT")
                                      ).columns == ["x", "label"]
+
+
+def uneven(spark, n=4000):
+    """Two features and a constant one, some of them missing or infinite, over many partitions."""
+    i = F.col("id")
+    return spark.range(0, n, 1, 16).select(
+        "id", F.when(i % 7 == 0, F.lit(NAN)).otherwise(i % 11).alias("a"),
+        F.when(i % 13 == 0, F.lit(INF)).when(i % 17 != 0, i * 0.5).alias("b"), F.lit(3.0).alias("c"),
+        (i % 2).cast("double").alias("label"))
+
+
+def test_constants_in_uneven_parts(spark):
+    """0.1 in parts of 1 to 40 rows, whose merged variance need not come out as zero."""
+    parts = spark.range(0, 40, 1, 40).select(F.explode(F.sequence(F.lit(0), F.col("id"))).alias("i"))
+    df = parts.select(F.lit(0.1).alias("a"), F.lit(INF).alias("b"), F.lit(NAN).alias("c"),
+                      F.lit(None).cast("double").alias("d"), F.when(F.col("i") == 0, 0.1).alias("e"), F.col("i").alias("f"))
+    assert quality.zero_variance_columns(df, list("abcdef")) == ["a", "e"]
+    assert quality.cleaning_report(df.select("a", "f"), ["a", "f"]).first()["dropped_columns"] == "a"
+
+
+def test_write_complete_is_both_in_one_pass(spark, tmp_path):
+    features = ["a", "b", "c"]
+    cleaned, report = quality.write_complete(spark, uneven, features, str(tmp_path / "rows"))
+    assert report.collect() == quality.cleaning_report(uneven(spark), features).collect()
+    assert report.first()["dropped_columns"] == "c"
+    want = quality.drop_incomplete(uneven(spark), features)
+    assert sorted(cleaned.collect()) == sorted(want.collect()) and report.first()["remaining_rows"] == want.count()
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_write_complete_of_few_rows(spark, tmp_path, rows):
+    features = ["a", "b", "c"]
+    cleaned, report = quality.write_complete(spark, lambda s: uneven(s, 5).filter(F.col("id") < rows), features, str(tmp_path / "rows"))
+    assert tuple(report.first()) == (rows, rows, 0, "", 3) and cleaned.count() == 0
+    assert cleaned.columns == uneven(spark).columns
+
+
+def test_observation_and_models_with_a_summary(spark, tmp_path):
+    """Why ``write_complete`` observes in a session of its own: there such a model cannot be shipped, here it can."""
+    cleaned, _ = quality.write_complete(spark, uneven, ["a", "b", "c"], str(tmp_path / "rows"))
+    makers = (LogisticRegression(maxIter=3), RandomForestClassifier(numTrees=3, seed=1))
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(cleaned)
+    for maker in makers:
+        assert maker.fit(data).transform(data).filter("prediction >= 0").count() == cleaned.count()
+    own, seen = spark.newSession(), Observation()
+    own.range(10).observe(seen, F.count("*").alias("n")).write.parquet(str(tmp_path / "observed"))
+    assert seen.get == {"n": 10}
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(own.read.parquet(str(tmp_path / "rows")))
+    with pytest.raises(Py4JJavaError, match="ObservationManager"):
+        LogisticRegression(maxIter=3).fit(data).transform(data).filter("prediction >= 0").count()
