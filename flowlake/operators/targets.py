@@ -23,6 +23,7 @@ from flowlake.functions.times import micros
 from flowlake.operators.labeling import _finish
 from flowlake.plans import windows
 from flowlake.plans.ordered import carry_last, ordered_slices
+from flowlake.scratch import materialize
 
 ADDRESSES = ("dst_ip",)
 
@@ -117,12 +118,14 @@ def label_flows_by_target(flows: DataFrame, sessions: DataFrame, addresses: Sequ
     rows = windows.bounded_rows(bounds, broadcast_limit)
     if rows is not None:
         return _finish(_lookup(flows, rows, addresses, time))
-    told = ["ord", "scenario"]
-    segments = windows.flatten_distributed(bounds, ["target"], told).unionByName(
-        windows.flatten_distributed(bounds.filter("target IS NULL"), winner=told).withColumn("target", F.lit(None).cast("string")))
+    told, bounds = ["ord", "scenario"], materialize(bounds, "target-bounds")
+    aimed, open_ = bounds.filter("target IS NOT NULL"), bounds.filter("target IS NULL")
+    segments = materialize(windows.flatten_distributed(aimed, ["target"], told), "target-segments")
+    sides = [(a, segments) for a in addresses]
+    if not open_.isEmpty() or not sides:
+        sides.append((None, windows.flatten_distributed(open_, winner=told).withColumn("target", F.lit(None).cast("string"))))
     joined, found = flows, []
-    for i, address in enumerate([*addresses, None]):
-        side = segments.filter(F.col("target").isNotNull() if address else F.col("target").isNull())
+    for i, (address, side) in enumerate(sides):
         joined, found = _as_of(joined, side, address, time, f"_win{i}"), [*found, f"_win{i}"]
     best = F.greatest(*found) if len(found) > 1 else F.col(found[0])
     return _finish(joined.withColumn("_scenario", best["scenario"]).drop(*found))

@@ -12,16 +12,20 @@ A log of bounded size is swept on the driver and becomes a local relation. A log
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlake.functions.times import micros
-from flowlake.plans.ordered import ordered_slices, running_totals
+from flowlake.scratch import materialize
 
 DRIVER_LIMIT = 100_000  # windows; about 10 MB as rows, also the bound of what is broadcast
-TOP_NODES = 1024        # interval nodes that are broadcast in the distributed cut
+PIECE_CUTS = 100_000    # starts and ends in a slice of the distributed cut
+SAMPLED = 50            # of these, how many go into the sample for the slices' borders
 
 
 def window_bounds(sessions: DataFrame) -> DataFrame:
@@ -55,45 +59,145 @@ def sweep(windows: list[Row]) -> Iterator[tuple[int, int, str]]:
             yield lo, after - 1, windows[newest_last[-active[0]]]["scenario"]
 
 
-def flatten_distributed(bounds: DataFrame, keys: Sequence[str] = (), winner: Sequence[str] = ("scenario",)) -> DataFrame:
+def _borders(bounds: DataFrame, keys: Sequence[str], piece_cuts: int) -> dict[tuple, np.ndarray]:
+    """Ascending borders of each key that is cut into slices, about ``piece_cuts`` starts and ends apart.
+
+    They come from a sample, about ``SAMPLED`` a slice, and decide how the work is dealt, not what comes out.
+    """
+    cuts = 2 * bounds.count()
+    if cuts <= piece_cuts:
+        return {}
+    points = bounds.select(*keys, F.explode(F.array("lo", F.col("hi") + 1)).alias("at"))
+    share = min(1.0, SAMPLED / piece_cuts)
+    found = sorted((tuple(r)[:-1], r["at"]) for r in points.sample(share, 42).collect())
+    out: dict[tuple, list[int]] = {}
+    step = max(1, round(piece_cuts * share))
+    for key, at in found[step::step]:
+        out.setdefault(key, []).append(at)
+    return {key: np.unique(np.array(at, np.int64)) for key, at in out.items()}
+
+
+def _highest(first: np.ndarray, after: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+    """Per place 0..n-1 the highest rank of a run [first, after) over it, -1 for none."""
+    table = np.full((n.bit_length(), n), -1, np.int64)
+    level = np.log2(after - first).astype(np.int64)
+    np.maximum.at(table, (level, first), rank)
+    np.maximum.at(table, (level, after - (1 << level)), rank)
+    for k in range(len(table) - 1, 0, -1):
+        half = 1 << (k - 1)
+        np.maximum(table[k - 1], table[k], out=table[k - 1])
+        table[k - 1, half:] = np.maximum(table[k - 1, half:], table[k, :n - half])
+    return table[0]
+
+
+def _cut_at(lo: np.ndarray, hi: np.ndarray, rank: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(slice, lo, hi, rank) of windows cut at borders; of those over a whole slice only the highest rank."""
+    a, b = (np.searchsorted(borders, x, side="right") for x in (lo, hi))
+    ends = np.append(borders, np.iinfo(np.int64).max)
+    parts = [(a, lo, np.minimum(hi, ends[a] - 1), rank)]
+    more = b > a
+    parts.append((b[more], borders[b[more] - 1], hi[more], rank[more]))
+    wide = b > a + 1
+    if wide.any():
+        best = _highest(a[wide] + 1, b[wide], rank[wide], len(borders) + 1)
+        whole = np.flatnonzero(best >= 0)
+        parts.append((whole, borders[whole - 1], borders[whole] - 1, best[whole]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _pieces(bounds: DataFrame, keys: list[str], borders: dict[tuple, np.ndarray]) -> DataFrame:
+    """Windows cut into slices, with ``_slice``; a batch sends one row for equal bounds."""
+    cut_keys = list(borders)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # A row's place is its rank in the log.
+            batch = batch.sort_values(["_told", "ord", "scenario"], na_position="first", kind="stable", ignore_index=True)
+            lo, hi = (batch[c].to_numpy(np.int64) for c in ("lo", "hi"))
+            rank = np.arange(len(batch))
+            if not keys:
+                code = np.zeros(len(batch), np.int64) if cut_keys else np.full(len(batch), -1)
+            else:
+                named = pd.Index([k[0] for k in cut_keys]) if len(keys) == 1 else pd.MultiIndex.from_tuples(cut_keys) if cut_keys else pd.Index([])
+                code = named.get_indexer(batch[keys[0]] if len(keys) == 1 else pd.MultiIndex.from_frame(batch[keys]))
+            rest = code < 0
+            parts = [(np.zeros(rest.sum(), np.int64), lo[rest], hi[rest], rank[rest])]
+            for c in np.unique(code[~rest]):
+                at = code == c
+                parts.append(_cut_at(lo[at], hi[at], rank[at], borders[cut_keys[c]]))
+            places, starts, ends, ranks = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(ranks, kind="stable")
+            out = batch.take(ranks[order]).reset_index(drop=True)
+            out["_slice"], out["lo"], out["hi"] = places[order], starts[order], ends[order]
+            yield out.drop_duplicates([*keys, "_slice", "lo", "hi"], keep="last")
+
+    return bounds.mapInPandas(run, T.StructType([*bounds.schema.fields, T.StructField("_slice", T.LongType())]))
+
+
+def _starts(rows: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Places at which a run of equal ``columns`` starts, but for the first."""
+    other = np.zeros(max(len(rows) - 1, 0), bool)
+    for c in columns:
+        x = rows[c].to_numpy()
+        other |= x[1:] != x[:-1]
+    return np.flatnonzero(other) + 1
+
+
+def swept(rows: pd.DataFrame, columns: Sequence[str]) -> pd.DataFrame:
+    """Disjoint segments of windows within each run of equal ``columns``; in a run the newest window is last."""
+    edges = [0, *_starts(rows, columns).tolist(), len(rows)]
+    lo, hi = rows["lo"].tolist(), rows["hi"].tolist()
+    found = [(i + win, start, end) for i, j in zip(edges, edges[1:]) for start, end, win in sweep(
+        [{"lo": lo[k], "hi": hi[k], "ord": k, "scenario": k - i} for k in range(i, j)])]
+    out = rows.take([place for place, _, _ in found]).reset_index(drop=True)
+    out["lo"], out["hi"] = (np.array([f[x] for f in found], np.int64) for x in (1, 2))
+    return out
+
+
+def _swept_slices(columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``swept`` over a task's sorted pieces; beside a batch only the slice at its end is held."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            starts = _starts(batch, columns)
+            fresh = held and any(held[-1][c].iloc[-1] != batch[c].iloc[0] for c in columns)
+            if fresh or len(starts):
+                last = starts[-1] if len(starts) else 0
+                yield swept(pd.concat([*held, batch.iloc[:last]]), columns)
+                held = [batch.iloc[last:]]
+            else:
+                held.append(batch)
+        if held:
+            yield swept(pd.concat(held), columns)
+
+    return run
+
+
+def flatten_distributed(bounds: DataFrame, keys: Sequence[str] = (), winner: Sequence[str] = ("scenario",),
+                        piece_cuts: int = PIECE_CUTS) -> DataFrame:
     """Disjoint segments for a log of any size, within each value of ``keys``: (keys..., lo, hi, scenario).
 
-    Cut points are ranked; a window then covers a run of ranks, which splits into at most
-    two nodes per level of a binary tree over the ranks. The newest window per node, then
-    per rank over the node's levels, is the winner: n log n rows, never a pair of windows.
-    ``winner`` names what is told of it, of ``ord`` and ``scenario``.
+    The time line of a key with many windows is cut into slices of about ``piece_cuts`` starts and ends.
+    A window becomes at most two pieces, in the slices of its ends; of the windows over a whole slice only
+    the newest matters, and each batch of windows sends one. Every slice is then swept by itself: rows in
+    proportion to the log, and a task holds one slice. ``winner`` names what is told of the winning window,
+    of ``ord`` and ``scenario``. Windows with a missing key are left out.
     """
-    keys = list(keys)
-    newest = bounds.groupBy(*keys, "lo", "hi").agg(F.max(F.struct("ord", "scenario")).alias("win"))
-    cuts = newest.select(*keys, F.col("lo").alias("cut")).union(newest.select(*keys, F.col("hi") + 1)).distinct()
-    ranked = running_totals(ordered_slices(cuts.withColumn("one", F.lit(1)), keys, ["cut"], "cuts"),
-                            keys, ["cut"], {"rank": "one"}).select(*keys, "cut", "rank")
-    levels = (ranked.agg(F.max("rank")).first()[0] or 0).bit_length()
-    covered = (newest
-               .join(ranked.select(*keys, F.col("cut").alias("lo"), F.col("rank").alias("r0")), [*keys, "lo"])
-               .join(ranked.select(*keys, (F.col("cut") - 1).alias("hi"), F.col("rank").alias("r1")), [*keys, "hi"])
-               .select(*keys, "win", "r0", "r1",
-                       F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-               .selectExpr(*keys, "win", "level", "shiftright(r0 + shiftleft(1L, level) - 1, level) AS a",
-                           "shiftright(r1, level) AS b")
-               .filter("a < b")
-               .selectExpr(*keys, "win", "level", """explode(array_compact(array(
-                   IF(a % 2 = 1, a, NULL), IF(b % 2 = 1, b - 1, NULL)))) AS node"""))
-    nodes = covered.groupBy(*keys, "level", "node").agg(F.max("win").alias("win"))
-    places = ranked.select(*keys, "rank", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")) \
-        .selectExpr(*keys, "rank", "level", "shiftright(rank, level) AS node")
-    # A node near the root meets a large share of all ranks, but there are few such nodes. With keys
-    # their number is not bounded; the join is then left to adaptive execution, which splits it.
-    top = levels - TOP_NODES.bit_length() + 2 if not keys else levels + 1
-    at = [*keys, "level", "node"]
-    near_root = places.filter(F.col("level") >= top).join(
-        F.broadcast(nodes.filter(F.col("level") >= top)), at)
-    below = places.filter(F.col("level") < top).join(
-        nodes.filter(F.col("level") < top), at)
-    winners = near_root.unionByName(below).groupBy(*keys, "rank").agg(F.max("win").alias("win"))
-    ends = ranked.select(*keys, (F.col("rank") - 1).alias("rank"), (F.col("cut") - 1).alias("hi"))
-    return (winners.join(ranked, [*keys, "rank"]).join(ends, [*keys, "rank"])
-            .select(*keys, F.col("cut").alias("lo"), "hi", *[F.col(f"win.{c}").alias(c) for c in winner]))
+    keys, known = list(keys), F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    # A missing place in the log is below all others, and whole numbers stay whole in pandas.
+    blank = F.lit(0).cast(bounds.schema["ord"].dataType)
+    told = bounds.filter(known).select(*keys, "lo", "hi", F.coalesce("ord", blank).alias("ord"), "scenario",
+                                       F.col("ord").isNotNull().alias("_told"))
+    held = materialize(told, "bounds")
+    pieces = _pieces(held, keys, _borders(held, keys, piece_cuts))
+    slices = [*keys, "_slice"]
+    dealt = pieces.repartition(*slices).sortWithinPartitions(*slices, "_told", "ord", "scenario")
+    out = dealt.mapInPandas(_swept_slices(slices), dealt.schema).withColumn("ord", F.when(F.col("_told"), F.col("ord")))
+    return out.select(*keys, "lo", "hi", *winner)
 
 
 def bounded_segments(sessions: DataFrame, limit: int = DRIVER_LIMIT) -> list[tuple] | None:

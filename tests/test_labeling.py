@@ -151,3 +151,35 @@ def test_unquoted_log_is_repaired(spark, tmp_path):
     assert rows[0]["targets"] == ["10.0.0.1", "10.0.0.2"]
     assert (rows[0]["label"], rows[0]["notes"]) == ("malicious", "note, more")
     assert (rows[1]["targets"], rows[1]["notes"]) == (["10.0.0.9"], "")
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_slices_of_a_log_are_cut_and_swept(spark, keys):
+    """Slices of few windows, equal starts, windows over many slices and a missing place: brute force at every cut."""
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), s := rng.choice([7, rng.randrange(300)]), s + rng.choice([0, 3, 40, 290]), o, f"s{o}")
+            for o in rng.sample(range(2**60, 2**60 + 500), 150)] + [("a", 0, 500, None, "lost"), ("b", 2, 4, None, None)]
+    bounds = spark.createDataFrame(rows, "k STRING, lo BIGINT, hi BIGINT, ord BIGINT, scenario STRING")
+    cut = windows.flatten_distributed(bounds, keys, ["ord", "scenario"], piece_cuts=10).collect()
+    want, got = {}, {}
+    for k, lo, hi, o, name in rows:
+        for t in range(lo, hi + 1):
+            at = (k if keys else None, t)
+            want[at] = max(want.get(at, (-1, "")), (-1 if o is None else o, name or ""))
+    for r in cut:
+        for t in range(r["lo"], r["hi"] + 1):
+            at = (r["k"] if keys else None, t)
+            assert at not in got, "segments are disjoint"
+            got[at] = (-1 if r["ord"] is None else r["ord"], r["scenario"] or "")
+    assert got == want and len(cut) > 30
+
+
+def test_windows_are_never_multiplied_by_levels(spark):
+    """A slice gets the pieces of the windows that end in it, and one for all that cover it."""
+    n = 4000
+    rows = [(i, 20 * n - i, i, f"s{i}") for i in range(n)]
+    bounds = spark.createDataFrame(rows, "lo BIGINT, hi BIGINT, ord BIGINT, scenario STRING").withColumn("_told", F.lit(True))
+    borders = windows._borders(bounds, [], 100)
+    assert len(borders[()]) > 40
+    sizes = [r["count"] for r in windows._pieces(bounds, [], borders).groupBy("_slice").count().collect()]
+    assert len(sizes) > 40 and sum(sizes) < 4 * n and max(sizes) < 1000
