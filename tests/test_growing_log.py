@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlake.operators.labeling import label_flows
 from flowlake.streaming import flows as streams
-from flowlake.streaming.growing_log import label_growing, newest_stream_leads, window_pieces
+from flowlake.streaming.growing_log import bucket_segments, label_growing, newest_stream_leads, window_pieces
 from flowlake.streaming.open_flows import end_input
 
 T0 = datetime(2026, 5, 18, 10, tzinfo=timezone.utc)
@@ -66,3 +66,18 @@ def test_pieces_cover_their_window(spark):
     pieces = window_pieces(log, 60).groupBy("scenario").agg(F.sort_array(F.collect_list("bucket")).alias("b")).collect()
     assert {r["scenario"]: [b.astimezone(timezone.utc) for b in r["b"]] for r in pieces} == {
         "A": [at(60)], "B": [at(60), at(120), at(180), at(240)], "C": [at(120)]}
+
+
+def test_a_bucket_meets_no_pairs(spark, tmp_path):
+    """Windows that all lie over one another leave few segments, and the last of them still labels."""
+    folder = str(tmp_path)
+    log = [(o, at(o % 50), at(550 - o % 50), f"s{o}") for o in range(2000)] + [(None, at(0), at(599), "no place")]
+    flows = [(i, at(i / 4), "a") for i in range(2400)]
+    made = spark.createDataFrame(log, LOG).coalesce(1)
+    assert bucket_segments(window_pieces(made, 600), 600).count() < 200
+    put(spark, folder, "flows", flows, FLOWS)
+    put(spark, folder, "log", log, LOG)
+    run(spark, folder, bucket=600)
+    end_input(spark, spark.createDataFrame([], FLOWS).schema, f"{folder}/flows")
+    got = run(spark, folder, bucket=600)
+    assert rows_of(got) == rows_of(label_flows(spark.createDataFrame(flows, FLOWS), spark.createDataFrame(log[:-1], LOG)))
