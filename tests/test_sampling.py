@@ -142,3 +142,18 @@ def test_shuffle_is_a_seeded_permutation(spark):
     assert sorted(a) == list(range(100)) and a != list(range(100))
     assert a == [r["flow_id"] for r in sampling.shuffle(df.repartition(3)).collect()]
     assert sampling.class_ratio(table(spark, 3, 0)).first()["ratio"] is None
+
+
+def test_row_numbers_move_rows_once(spark):
+    """Without crowded slices there is one shuffle of rows and none for copies."""
+    plan = sampling.index_rows(spark.range(400).select((F.col("id") % 300).alias("v")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+
+
+def test_row_numbers_beside_a_crowded_slice(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "CHUNK", 100)
+    df = spark.range(3000).select(F.when(F.col("id") < 1500, F.lit(-1)).otherwise(F.col("id")).alias("v"))
+    rows = sampling.index_rows(df).withColumn("k", sampling.full_row_key(df, sampling.fixed.SEED)).orderBy("row_idx").collect()
+    assert [r["row_idx"] for r in rows] == list(range(3000))
+    assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
+    assert Counter(r["v"] for r in rows) == Counter(r["v"] for r in df.collect())
