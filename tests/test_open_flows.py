@@ -105,3 +105,56 @@ def test_packets_without_a_time_and_an_empty_capture(spark, tmp_path):
     open_flows.end_input(spark, df.schema, empty)
     assert run(spark, empty, str(tmp_path / "o2"), str(tmp_path / "m2"), df.schema).count() == 0
     assert spark.read.schema(df.schema).parquet(empty).select(micros(F.col("ts"))).first()[0] == open_flows.END_US
+
+
+def test_a_pair_has_one_timer():
+    """However many flows of a pair are open, they cost one timer; it moves to the next flow that closes."""
+    class Handle:
+        def __init__(self):
+            self.timers, self.made, self.rows = set(), 0, []
+
+        def getListState(self, *_):
+            return self
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+            self.made += 1
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    def run_at(second):
+        us = second * 1_000_000
+        return {c: us if c.endswith(("_us", "first", "last")) else True if c == "a_opened" else 1 for c in open_flows.RUN}
+
+    handle, flows = Handle(), open_flows.OpenFlows(GAP * 1_000_000)
+    flows.init(handle)
+    flows.handleInputRows((6, "a", 1, "b", 2), iter([run_at(1000 * i) for i in range(50)]), Now(0))
+    assert len(handle.rows) == 50 and handle.made == 1
+    for until, left in ((30_500, 19), (100_000, 0)):
+        fired = min(handle.timers)
+        handle.timers.remove(fired)
+        out = list(flows.handleExpiredTimer((6, "a", 1, "b", 2), Now(until * 1000), Now(fired)))
+        assert len(handle.rows) == left and len(out) == (31 if left else 19)
+    assert handle.made == 2 and not handle.timers
