@@ -106,3 +106,16 @@ def test_jobs_end_to_end(spark, tmp_path):
     (tmp_path / "eve.json").write_text('{"event_type":"dns"}\n{"event_ty')
     counts = jobs.ids_job(spark, [str(tmp_path / "eve.json")], str(tmp_path / "ids"))
     assert {r["event_type"]: r["events"] for r in counts.collect()}["malformed"] == 1
+
+
+def test_a_forest_is_dealt_by_rows(separable, fitted, monkeypatch):
+    """Its parts are cut by rows; a deep tree's parts are not, and all models come out in their order."""
+    parts = {}
+    for kind in (models.RandomForestClassifier, models.DecisionTreeClassifier):
+        real = kind.fit
+        monkeypatch.setattr(kind, "fit", lambda self, df, real=real: parts.update({type(self).__name__: df.rdd.getNumPartitions()}) or real(self, df))
+    given = separable.rdd.getNumPartitions()
+    monkeypatch.setattr(models, "FOREST_PART_ROWS", 20)
+    again = models.fit_models(separable, ["a", "b"], SMALL, ["decision_tree", "random_forest"])
+    assert list(again) == ["decision_tree", "random_forest"]
+    assert parts["RandomForestClassifier"] == 20 and parts["DecisionTreeClassifier"] == max(given, separable.sparkSession.sparkContext.defaultParallelism)
