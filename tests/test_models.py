@@ -119,3 +119,12 @@ def test_a_forest_is_dealt_by_rows(separable, fitted, monkeypatch):
     again = models.fit_models(separable, ["a", "b"], SMALL, ["decision_tree", "random_forest"])
     assert list(again) == ["decision_tree", "random_forest"]
     assert parts["RandomForestClassifier"] == 20 and parts["DecisionTreeClassifier"] == max(given, separable.sparkSession.sparkContext.defaultParallelism)
+
+
+def test_all_metrics_prepare_once(spark, sf_dir, monkeypatch):
+    from flowlake.queries import training
+    made = []
+    real = training._sides
+    monkeypatch.setattr(training, "_sides", lambda *a: made.append(a) or real(*a))
+    monkeypatch.setattr(training, "PARAMS", models.ModelParams(trees=3, forest_depth=3, rounds=1, boosting_depth=2, tree_depth=3))
+    assert training.m6(spark, sf_dir).count() == 4 and len(made) == 1
