@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from flowlake.functions.times import micros
 from flowlake.scratch import materialize
+from flowlake.session import ship_library
 
 DRIVER_LIMIT = 100_000  # windows; about 10 MB as rows, also the bound of what is broadcast
 PIECE_CUTS = 100_000    # starts and ends in a slice of the distributed cut
@@ -185,6 +186,7 @@ def flatten_distributed(bounds: DataFrame, keys: Sequence[str] = (), winner: Seq
     proportion to the log, and a task holds one slice. ``winner`` names what is told of the winning window,
     of ``ord`` and ``scenario``. Windows with a missing key are left out.
     """
+    ship_library(bounds.sparkSession)
     keys, known = list(keys), F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
