@@ -135,3 +135,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
     chain = [(i, i + 1) for i in range(40)]
     assert {r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()} == {0}
+
+
+def test_components_plan_one_pass_at_a_time(spark, monkeypatch):
+    """A written pass joins its links once; passes planned on top of each other read the links again for each."""
+    from flowlake.llm import components as module
+
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return module_materialize(df, name)
+
+    module_materialize = module.materialize
+    monkeypatch.setattr(module, "materialize", written)
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 4), (20, 21)], "a long, b long")
+    assert {r.node: r.component for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 20: 20, 21: 20}
+    assert len(plans) > 2 and max(p.count("Join ") for p in plans) == 1
