@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.llm.common import bound_batches, give_back, pieces
-from flowlake.llm.encode import BATCH, MEMORY, encoder
+from flowlake.llm.encode import BATCH, MEMORY, encoder, forget
 from flowlake.scratch import scratch_path
 
 END = 0
@@ -145,13 +145,15 @@ def pack(ids: np.ndarray, sizes: np.ndarray, code: np.ndarray, bits: np.ndarray)
     of_doc = upto[ends] - upto[ends - sizes]
     first = np.concatenate([[0], np.cumsum((of_doc + 7) // 8)])
     at = upto[:-1] + np.repeat(first[:-1] * 8 - upto[ends - sizes], sizes)
-    reach = (int(bits.max(initial=1)) + 14) // 8
-    shifted = code[ids] << (8 * reach - length - (at & 7)).astype(np.uint64)
-    out = np.zeros(int(first[-1]) + reach, np.float64)
-    for k in range(reach):
-        byte = (shifted >> np.uint64(8 * (reach - 1 - k))) & np.uint64(255)
-        out += np.bincount((at >> 3) + k, byte.astype(np.float64), len(out))
-    return out[: int(first[-1])].astype(np.uint8).tobytes(), first, at
+    # Codes that begin in the same 32 bits fill 64 bits together, and none shares a bit with another.
+    word = at >> 5
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    out = np.zeros((int(first[-1]) + 3) // 4 + 2, np.uint32)
+    if len(begins):
+        filled = np.bitwise_or.reduceat(code[ids] << (64 - length - (at & 31)).astype(np.uint64), begins)
+        out[word[begins]] = filled >> np.uint64(32)
+        out[word[begins] + 1] |= (filled & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return out.astype(">u4").tobytes()[: int(first[-1])], first, at
 
 
 def unpack(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
@@ -240,6 +242,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     encode_documents(docs, tokenizer, end, remembered, batch_bytes).write.option("compression", "zstd").parquet(work)
     ids = spark.read.schema(IDS).parquet(work)
     dtype = encoder(tokenizer).dtype.str
+    forget()  # the driver keeps no vocabulary
     counts = id_counts(ids, dtype)
     lengths = code_lengths(counts, longest)
     code, bits = canonical(lengths)

@@ -136,3 +136,53 @@ def test_counts_by_sentencepiece(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     got = {r.doc_id: r.n_tokens for r in token_counts(table(spark, list(enumerate(texts))), path).collect()}
     assert got == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_known_pieces_cost_no_python_call_each(encoder):
+    """Pieces met before are looked up, joined and counted by whole arrays."""
+    import cProfile
+    import pstats
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(20)]
+    first = encoder.encode(texts)
+    profile = cProfile.Profile()
+    profile.enable()
+    again = encoder.encode(texts)
+    profile.disable()
+    assert again == first and pstats.Stats(profile).total_calls < 2000
+
+
+def test_bare_pieces():
+    import pyarrow as pa
+    from flowlake.llm.encode import _bare
+
+    ends = ["", "a", "é", "👍", "\n", "\x1c", "\x85", "\xa0", "　", "\x7f", "\x00"]
+    words = pa.array([a + m + b for a in ends for m in ("", "b\nc") for b in ends], pa.string())
+    for some in (words, words[3:50], words[:1], words[:0]):
+        texts = some.to_pylist()
+        bare, empty = _bare(some, np.array(texts, object))
+        assert bare.tolist() == [t == t.strip() for t in texts] and empty.tolist() == [not t for t in texts]
+
+
+def test_packed_bits():
+    """Against a string of bits: codes of up to 33 bits at every offset, documents begun at a byte."""
+    rng = random.Random(4)
+    bits = np.array([rng.randint(1, 33) for _ in range(200)], np.int64)
+    code = np.array([rng.getrandbits(int(b)) for b in bits], np.uint64)
+    for sizes in ([], [1], [3, 1, 500, 0, 9, 2000]):
+        ids = np.array(rng.choices(range(200), k=sum(sizes)), np.int64)
+        data, first, at = pack(ids, np.array(sizes, np.int64), code, bits)
+        want, places = "", []
+        for e, s in zip(np.cumsum(sizes), sizes):
+            for i in ids[e - s:e].tolist():
+                places.append(len(want))
+                want += f"{int(code[i]):0{int(bits[i])}b}"
+            want += "0" * (-len(want) % 8)
+        assert "".join(f"{b:08b}" for b in data) == want and at.tolist() == places and first[-1] * 8 == len(want)
+
+
+def test_the_driver_keeps_no_vocabulary(spark):
+    from flowlake.llm.encode import encoder as held
+
+    assert token_files(table(spark, [(1, "a b")]), PATH).count() == 1
+    assert held.cache_info().currsize == 0
