@@ -128,3 +128,38 @@ def test_all_metrics_prepare_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(training, "_sides", lambda *a: made.append(a) or real(*a))
     monkeypatch.setattr(training, "PARAMS", models.ModelParams(trees=3, forest_depth=3, rounds=1, boosting_depth=2, tree_depth=3))
     assert training.m6(spark, sf_dir).count() == 4 and len(made) == 1
+
+
+@pytest.mark.parametrize("name", ["RandomForestClassifier", "DecisionTreeClassifier"])
+def test_trees_that_draw_in_every_pass_are_those_of_mllib(spark, monkeypatch, name):
+    """Where draws and nodes do not fit, nothing but the given rows is held, and the model is MLlib's."""
+    from pyspark.ml import classification
+
+    from flowlake.operators import forests
+    rows = spark.range(4000).select((F.col("id") % 3 == 0).cast("double").alias("label"), F.rand(1).alias("a"),
+                                    (F.col("id") % 3 + F.rand(2)).alias("b"), F.rand(3).alias("c")).repartition(6)
+    ready = models.assemble(rows, ["a", "b", "c"]).select(models.VECTOR, "label").persist()
+    params = {"featuresCol": models.VECTOR, "labelCol": "label", "seed": 5, "maxDepth": 6}
+    if name == "RandomForestClassifier":
+        params |= {"numTrees": 7, "cacheNodeIds": True}
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs
+    before, kept = held().size(), []
+    monkeypatch.setattr(forests, "free_memory", lambda s: 0)
+    real = getattr(forests, name)._joined
+    monkeypatch.setattr(getattr(forests, name), "_joined", lambda *a: kept.append(held().size()) or real(*a))
+    got, want = (getattr(kind, name)(**params).fit(ready) for kind in (forests, classification))
+    assert kept == [before + 1] or kept == [before], "no table but the given one"
+    assert got.toDebugString.split("\n")[1:] == want.toDebugString.split("\n")[1:]
+    assert got.featureImportances == want.featureImportances and got.getMaxDepth() == 6
+    assert type(got) is type(want) and got.hasParam("seed") and got.getOrDefault("seed") == 5
+    ready.unpersist()
+
+
+def test_held_rows_are_columns(spark, separable):
+    """Assembled rows are held as numbers, and come back as the vectors they were; vectors stay vectors."""
+    train = separable.withColumn("c", F.lit(0.0))
+    ready = models.assemble(train, ["a", "b", "c"]).select(models.VECTOR, F.col("label").cast("double").alias("label"))
+    kept = models._columns(ready, train, ["a", "b", "c"])
+    assert [t for _, t in kept.dtypes] == ["double"] * 4
+    assert models.assemble(kept, kept.columns[:-1]).select(models.VECTOR, "label").collect() == ready.collect()
+    assert models._columns(ready, ready, [models.VECTOR]).columns == [models.VECTOR, "label"]
