@@ -26,6 +26,7 @@ from flowlake.session import ship_library
 
 DRIVER_LIMIT = 100_000  # windows; about 10 MB as rows, also the bound of what is broadcast
 PIECE_CUTS = 100_000    # starts and ends in a slice of the distributed cut
+FEW = 32                # windows that are swept one by one
 SAMPLED = 50            # of these, how many go into the sample for the slices' borders
 
 
@@ -80,15 +81,16 @@ def _borders(bounds: DataFrame, keys: Sequence[str], piece_cuts: int) -> dict[tu
 
 def _highest(first: np.ndarray, after: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
     """Per place 0..n-1 the highest rank of a run [first, after) over it, -1 for none."""
-    table = np.full((n.bit_length(), n), -1, np.int64)
+    best = np.full(n, -1, np.int64)
     level = np.log2(after - first).astype(np.int64)
-    np.maximum.at(table, (level, first), rank)
-    np.maximum.at(table, (level, after - (1 << level)), rank)
-    for k in range(len(table) - 1, 0, -1):
-        half = 1 << (k - 1)
-        np.maximum(table[k - 1], table[k], out=table[k - 1])
-        table[k - 1, half:] = np.maximum(table[k - 1, half:], table[k, :n - half])
-    return table[0]
+    # A run is two that overlap, each of a power of two; from the longest down, each is halved.
+    for k in range(n.bit_length() - 1, -1, -1):
+        half = best.copy()
+        np.maximum(half[1 << k:], best[:max(n - (1 << k), 0)], out=half[1 << k:])
+        best, at = half, level == k
+        np.maximum.at(best, first[at], rank[at])
+        np.maximum.at(best, after[at] - (1 << k), rank[at])
+    return best
 
 
 def _cut_at(lo: np.ndarray, hi: np.ndarray, rank: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -144,14 +146,34 @@ def _starts(rows: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(other) + 1
 
 
-def swept(rows: pd.DataFrame, columns: Sequence[str]) -> pd.DataFrame:
-    """Disjoint segments of windows within each run of equal ``columns``; in a run the newest window is last."""
+def _swept_run(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sweep`` by whole arrays: disjoint (lo, hi) and the place of the window, the newest being last."""
+    if len(lo) < FEW:
+        found = list(sweep([{"lo": a, "hi": b, "ord": i, "scenario": i} for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist()))]))
+        return tuple(np.array([f[x] for f in found], np.int64) for x in range(3))
+    cuts = np.unique(np.concatenate([lo, hi + 1]))
+    best = _highest(np.searchsorted(cuts, lo), np.searchsorted(cuts, hi + 1), np.arange(len(lo)), len(cuts) - 1)
+    over = best >= 0
+    return cuts[:-1][over], cuts[1:][over] - 1, best[over]
+
+
+def swept(rows: pd.DataFrame, columns: Sequence[str], joined: bool = False) -> pd.DataFrame:
+    """Disjoint segments of windows within each run of equal ``columns``; in a run the newest window is last.
+
+    ``joined``: segments of one window that follow each other become one.
+    """
     edges = [0, *_starts(rows, columns).tolist(), len(rows)]
-    lo, hi = rows["lo"].tolist(), rows["hi"].tolist()
-    found = [(i + win, start, end) for i, j in zip(edges, edges[1:]) for start, end, win in sweep(
-        [{"lo": lo[k], "hi": hi[k], "ord": k, "scenario": k - i} for k in range(i, j)])]
-    out = rows.take([place for place, _, _ in found]).reset_index(drop=True)
-    out["lo"], out["hi"] = (np.array([f[x] for f in found], np.int64) for x in (1, 2))
+    lo, hi = (rows[c].to_numpy(np.int64) for c in ("lo", "hi"))
+    found = []
+    for i, j in zip(edges, edges[1:]):
+        start, end, place = _swept_run(lo[i:j], hi[i:j])
+        if joined and len(start):
+            fresh = np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != end[:-1] + 1)])
+            start, end, place = start[fresh], end[np.append(np.flatnonzero(fresh)[1:] - 1, len(end) - 1)], place[fresh]
+        found.append((start, end, place + i))
+    start, end, place = (np.concatenate(x) for x in zip(*found))
+    out = rows.take(place).reset_index(drop=True)
+    out["lo"], out["hi"] = start, end
     return out
 
 

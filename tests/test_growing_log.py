@@ -3,10 +3,13 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from flowlake.operators.labeling import label_flows
+from flowlake.plans import windows
 from flowlake.streaming import flows as streams
+from flowlake.streaming import packed
 from flowlake.streaming.growing_log import bucket_segments, label_growing, newest_stream_leads, window_pieces
 from flowlake.streaming.open_flows import end_input
 
@@ -81,3 +84,57 @@ def test_a_bucket_meets_no_pairs(spark, tmp_path):
     end_input(spark, spark.createDataFrame([], FLOWS).schema, f"{folder}/flows")
     got = run(spark, folder, bucket=600)
     assert rows_of(got) == rows_of(label_flows(spark.createDataFrame(flows, FLOWS), spark.createDataFrame(log[:-1], LOG)))
+
+
+def test_state_holds_rows_packed(spark, tmp_path):
+    """Thousands of flows and segments of a bucket are few rows of state, and all of them are labelled."""
+    folder, day = str(tmp_path), 86_400
+    flows = [(i, at(i % 7000 + i / 1e5), "a" if i % 3 else None) for i in range(20_000)] + [(-1, at(9 * day), "last")]
+    log = [(o, at(o * 3), at(o * 3 + 40 + o % 5), f"s{o}") for o in range(2000)]
+    put(spark, folder, "flows", flows, FLOWS)
+    put(spark, folder, "log", log, LOG)
+    live = label_growing(*[spark.readStream.schema(s).parquet(f"{folder}/{n}") for n, s in (("flows", FLOWS), ("log", LOG))],
+                         "20 days", bucket_seconds=6 * 3600, salts=2)
+    with newest_stream_leads(spark):
+        query = streams.drain(live, f"{folder}/out", f"{folder}/mark")
+        held = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+        assert 0 < held < 100
+        end_input(spark, spark.createDataFrame([], FLOWS).schema, f"{folder}/flows")
+        streams.drain(live, f"{folder}/out", f"{folder}/mark")
+    got = spark.read.schema(live.schema).parquet(f"{folder}/out")
+    assert rows_of(got) == rows_of(label_flows(spark.createDataFrame(flows, FLOWS), spark.createDataFrame(log, LOG)))
+
+
+def test_packed_rows_come_back(spark):
+    """Any columns, missing values too; a value holds rows of one key and no more than its bytes."""
+    rows = spark.range(3000).select(
+        (F.col("id") * 7919 % 5).alias("k"), "id", F.when(F.col("id") % 4 > 0, F.timestamp_micros(F.col("id") * 1_000_003 - 10**12)).alias("t"),
+        F.struct(F.array("id", "id").alias("x"), F.when(F.col("id") % 3 > 0, F.lit("é")).alias("y")).alias("s")).repartition(3)
+    schema = rows.drop("k").schema
+    for bytes_, least, most in ((packed.BLOB_BYTES, 5, 15), (2000, 30, 3000)):
+        blobs = packed.packed(rows, "k", bytes_)
+        assert least <= blobs.count() <= most
+        assert sorted(map(str, packed.unpacked(blobs, schema).collect())) == sorted(map(str, rows.drop("k").collect()))
+        for k in range(5):
+            alone = packed.unpacked(blobs.filter(F.col("k") == k), schema)
+            assert alone.count() == 600 and alone.filter(F.col("id") * 7919 % 5 != k).count() == 0
+    assert packed.packed(rows.limit(0), "k").count() == 0
+
+
+def test_sweep_by_arrays(monkeypatch):
+    """Long runs are swept by whole arrays, with the segments of the one-by-one sweep; joined ones cover the same."""
+    rng = random.Random(4)
+    for size, reach in ((300, 20), (300, 3000), (40, 1)):
+        lo = [rng.randrange(1000) for _ in range(size)]
+        rows = pd.DataFrame({"k": [i * 3 // size for i in range(size)], "lo": lo, "hi": [x + rng.randrange(reach) for x in lo],
+                             "name": [rng.choice("abc") for _ in range(size)]})
+        want = [(int(k), a, b, n) for k, g in rows.groupby("k") for a, b, n in windows.sweep(
+            [{"lo": r.lo, "hi": r.hi, "ord": r.Index, "scenario": r.name} for r in g.itertuples()])]
+        monkeypatch.setattr(windows, "FEW", 0)
+        got = windows.swept(rows, ["k"])
+        assert [tuple(r) for r in got[["k", "lo", "hi", "name"]].itertuples(index=False)] == want
+        joined = windows.swept(rows, ["k"], joined=True)
+        over = lambda t: {(r.k, x): r.name for r in t.itertuples() for x in range(r.lo, r.hi + 1)}
+        assert over(joined) == over(got) and len(joined) <= len(got)
+    nested = pd.DataFrame({"lo": [5, 4, 0], "hi": [6, 8, 9]})
+    assert windows.swept(nested, [], joined=True)[["lo", "hi"]].values.tolist() == [[0, 9]]
