@@ -163,3 +163,26 @@ def test_held_rows_are_columns(spark, separable):
     assert [t for _, t in kept.dtypes] == ["double"] * 4
     assert models.assemble(kept, kept.columns[:-1]).select(models.VECTOR, "label").collect() == ready.collect()
     assert models._columns(ready, ready, [models.VECTOR]).columns == [models.VECTOR, "label"]
+
+
+def _with_and_without_room(spark, sf_dir, monkeypatch, query):
+    """Rows of a model query where the draws fit, and where they do not."""
+    from flowlake.operators import forests
+    from flowlake.queries import training
+    monkeypatch.setattr(training, "PARAMS", models.ModelParams(trees=5, forest_depth=4, rounds=1, boosting_depth=2, tree_depth=4))
+    passes, out = [], []
+    real = forests._Drawn._fit_in_passes
+    monkeypatch.setattr(forests._Drawn, "_fit_in_passes", lambda *a: passes.append(a) or real(*a))
+    for room in (1 << 40, 0):
+        monkeypatch.setattr(forests, "free_memory", lambda s, room=room: room)
+        training._fitted.cache_clear()
+        out.append(sorted(map(str, getattr(training, query)(spark, sf_dir).collect())))
+        assert bool(passes) == (room == 0)
+    training._fitted.cache_clear()
+    assert out[0] == out[1] and out[0]
+    return passes
+
+
+def test_all_metrics_without_room(spark, sf_dir, monkeypatch):
+    """The forest and the tree are fitted in passes, and all metrics stay."""
+    assert len(_with_and_without_room(spark, sf_dir, monkeypatch, "m6")) == 2
