@@ -186,3 +186,8 @@ def _with_and_without_room(spark, sf_dir, monkeypatch, query):
 def test_all_metrics_without_room(spark, sf_dir, monkeypatch):
     """The forest and the tree are fitted in passes, and all metrics stay."""
     assert len(_with_and_without_room(spark, sf_dir, monkeypatch, "m6")) == 2
+
+
+def test_importance_without_room(spark, sf_dir, monkeypatch):
+    """W4 ranks the same features with the same weights when the forest is fitted in passes."""
+    assert len(_with_and_without_room(spark, sf_dir, monkeypatch, "w4")) == 1
