@@ -191,3 +191,8 @@ def test_all_metrics_without_room(spark, sf_dir, monkeypatch):
 def test_importance_without_room(spark, sf_dir, monkeypatch):
     """W4 ranks the same features with the same weights when the forest is fitted in passes."""
     assert len(_with_and_without_room(spark, sf_dir, monkeypatch, "w4")) == 1
+
+
+def test_forest_scores_without_room(spark, sf_dir, monkeypatch):
+    """M1 gives every flow the same score when the forest is fitted in passes."""
+    assert len(_with_and_without_room(spark, sf_dir, monkeypatch, "m1")) == 1
